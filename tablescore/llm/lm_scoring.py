@@ -222,7 +222,7 @@ def score_documents(docs: DataFrame, *, text: str, key: str, held_out: Column, p
 
     both = lambda df: df.groupBy("__block").cogroup(replies.groupBy("block"))
     seen = both(rows.filter(F.col("__role") == DELETED).select("__text", "__role", "__block")).applyInArrow(learn, "cell array<int>, n long")
-    cells = seen.groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = stored(seen.groupBy("cell").agg(F.sum("n").alias("n"))).collect()
     table = np.array([r.cell for r in cells], np.int64).reshape(-1, order + 1)
     p = np.where(table[:, 1:] < 0, 0, 2.0 ** (-table[:, 1:] / steps))
     uniform = np.full((len(table), 1), 1 / (total.n_types + 1))
