@@ -16,8 +16,10 @@ import pyarrow as pa
 #: Bytes of text that one kernel call looks at (a longer single text is taken whole).
 CHUNK_BYTES = 2_000_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte that is neither a letter nor a digit.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,11 +77,12 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a batch: byte spans, and each text's range of words."""
+    """The words of a batch, `[^\\x20\\x09-\\x0D]+` unless other separating bytes are given: byte
+    spans, and each text's range of words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
-        ink = ~_SPACE[data]
+        ink = ~apart[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before, after = edge[:-1].copy(), edge[1:].copy()
