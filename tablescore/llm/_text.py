@@ -92,14 +92,18 @@ class Words:
         self.ends = np.flatnonzero(ink & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, *prefixes: int) -> np.ndarray | list[np.ndarray]:
+        """Each word's hash; with prefixes, also those of its first so many bytes (all, of a shorter word)."""
         size = max(len(self.data), CHUNK_BYTES) + 1
         power, inverse = _powers(size)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_TABLE[self.data] * power[: len(self.data)], out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-            return mix(h + (self.ends - self.starts).astype(np.uint64))
+            begin, unit, out = sums[self.starts], inverse[self.starts], []
+            for k in (None, *prefixes):
+                ends = self.ends if k is None else np.minimum(self.ends, self.starts + k)
+                out.append(mix((sums[ends] - begin) * unit + (ends - self.starts).astype(np.uint64)))
+        return out if prefixes else out[0]
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))

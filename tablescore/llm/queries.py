@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat_format, exact_dedup, language_id, lm_scoring, quality_crf, toxicity
+from . import chat_format, exact_dedup, language_id, lm_scoring, ngram_join, quality_crf, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.MilParams().threshold).cast("int").alias("predicted"), F.size("toxic_sentences").alias("n_toxic_sentences"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_quality_classifier, op5_exact_dedup, op7_language_id, op8_toxicity)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_quality_classifier, op5_exact_dedup, op7_language_id, op8_toxicity, op9_ngram_jaccard)}
 
 
 _OP2 = r"""

@@ -1,16 +1,19 @@
 """Toxicity by multiple-instance learning.
 
-A text is a bag of sentences (split at . ! ? and line ends). A sentence's log-odds are a bias and
-the weights of its words; a text is toxic unless none of its sentences is (noisy-or):
+A text is a bag of sentences (split at . ! ? and line ends; a sentence that a text repeats counts
+once). A sentence's log-odds are a bias and the weights of its words and of their beginnings; a text
+is toxic unless none of its sentences is (noisy-or):
 
     P(toxic) = 1 - prod over sentences of (1 - p)
 
 Only texts have labels. The weights maximise the likelihood of those, so the blame falls on the
 sentences that toxic texts have and others don't, and the same weights then locate them.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z folded, hashed to 2^20 weights. A word in
-fewer than MilParams.least_texts sampled texts has no weight. The sample is bounded (per_class texts
-a class, none over most_bytes); scoring reads all rows and whole texts and moves none.
+Words are runs of letters, digits and non-ASCII bytes, A-Z folded; they and their first 4 to 7 bytes
+are hashed to 2^20 weights. A weight is fitted, and is never negative, for what at least
+MilParams.least_texts toxic texts of the sample hold and is MilParams.least_lift times as common in
+them as in others. The sample is bounded (per_class texts a class, none over most_bytes); scoring
+reads all rows and whole texts and moves none.
 
 Defined cases: a text without words (null, empty) has one sentence without words; null keys stay;
 repeated rows are scored each; an empty table gives no rows; no usable labels give 0 everywhere.
@@ -27,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from ._sample import labelled_ids, labelled_texts
-from ._text import NOT_ALNUM, Words, chunks, string_bytes
+from ._text import NOT_ALNUM, Words, chunks, mix, string_bytes
 
 _BITS = 20
+_PREFIXES = (4, 5, 6, 7)
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
@@ -40,8 +44,9 @@ class MilParams:
 
     per_class: int = 4000
     most_bytes: int = 65536
-    least_texts: int = 5
-    steps: int = 120
+    least_texts: int = 3
+    least_lift: float = 6.0
+    steps: int = 150
     rate: float = 0.15
     lasso: float = 2e-5
     threshold: float = 0.3
@@ -53,7 +58,8 @@ class Bag:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets, NOT_ALNUM)
-        self.slot = (words.hashes() >> np.uint64(64 - _BITS)).astype(np.int64)
+        hashes = words.hashes(*_PREFIXES)
+        self.slot = (np.stack(hashes, 1) >> np.uint64(64 - _BITS)).astype(np.int32)
         text = words.doc_of()
         ends = np.cumsum(_ENDS[data], dtype=np.int32)
         mark = ends[words.starts] if len(data) else np.zeros(0, np.int32)
@@ -61,8 +67,12 @@ class Bag:
         new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
         self.sentence = np.cumsum(new) - 1
         first = np.flatnonzero(new)
+        with np.errstate(over="ignore"):
+            whole = np.add.reduceat(mix(hashes[0]), first) if len(first) else np.zeros(0, np.uint64)
         self.begin, self.end = words.starts[first], words.ends[np.append(first[1:], len(mark)) - 1] if len(first) else first
         self.text = text[first]
+        self.counts = np.zeros(len(first), bool)
+        self.counts[np.unique(whole ^ mix(self.text.astype(np.uint64)), return_index=True)[1]] = True
         bare = np.setdiff1d(np.arange(len(offsets) - 1), self.text)
         if len(bare):  # sentences are numbered anew, in order of text
             both = np.concatenate([self.text, bare])
@@ -70,6 +80,7 @@ class Bag:
             place = np.empty(len(both), np.int64)
             place[order] = np.arange(len(both))
             self.sentence = place[self.sentence]
+            self.counts = np.append(self.counts, np.ones(len(bare), bool))[order]
             zero = offsets[bare]
             self.text, self.begin, self.end = both[order], np.concatenate([self.begin, zero])[order], np.concatenate([self.end, zero])[order]
         self.begin, self.end = self.begin - offsets[self.text], self.end - offsets[self.text]
@@ -77,10 +88,10 @@ class Bag:
         self.word_text = text
 
     def log_odds(self, weight: np.ndarray, bias: float) -> np.ndarray:
-        return bias + np.bincount(self.sentence, weight[self.slot], len(self.text))
+        return bias + np.bincount(self.sentence, weight[self.slot].sum(1), len(self.text))
 
     def text_score(self, odds: np.ndarray) -> np.ndarray:
-        return -np.expm1(-np.add.reduceat(np.logaddexp(0, odds), self.at[:-1]))
+        return -np.expm1(-np.add.reduceat(np.logaddexp(0, odds) * self.counts, self.at[:-1]))
 
 
 @dataclass(frozen=True)
@@ -96,19 +107,29 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, row_weight: np.ndarray, para
         return none
     data, offsets = string_bytes(texts)
     bags = [Bag(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-    slot = np.concatenate([b.slot for b in bags])
     n_sentences = np.cumsum([0] + [len(b.text) for b in bags])
     n_texts = np.cumsum([0] + [len(b.at) - 1 for b in bags])
-    sentence = np.concatenate([b.sentence + n for b, n in zip(bags, n_sentences, strict=False)])
     at = np.append(np.concatenate([b.at[:-1] + n for b, n in zip(bags, n_sentences, strict=False)]), n_sentences[-1])
-    word_text = np.concatenate([b.word_text + n for b, n in zip(bags, n_texts, strict=False)])
-    pairs = np.unique(slot * (len(labels) + 1) + word_text)
-    frequent = np.bincount(pairs // (len(labels) + 1), minlength=1 << _BITS) >= params.least_texts
-    used = np.flatnonzero(frequent)
+    counts = np.concatenate([b.counts for b in bags])
+    # In how many toxic texts, and in what weight of other texts, each slot occurs.
+    toxic, other = np.zeros(1 << _BITS), np.zeros(1 << _BITS)
+    for bag, a, b in zip(bags, n_texts, n_texts[1:], strict=False):
+        pair = np.unique(bag.slot.ravel().astype(np.int64) * (b - a) + np.repeat(bag.word_text, bag.slot.shape[1]))
+        slot, row = pair // (b - a), a + pair % (b - a)
+        toxic += np.bincount(slot, labels[row] > 0, 1 << _BITS)
+        other += np.bincount(slot, labels[row] <= 0, 1 << _BITS)
+    n_toxic = (labels > 0).sum()
+    lift = (toxic / n_toxic) / ((other + 0.5) / (len(labels) - n_toxic + 0.5))
+    used = np.flatnonzero((toxic >= params.least_texts) & (lift >= params.least_lift))
     number = np.full(1 << _BITS, -1)
     number[used] = np.arange(len(used))
-    keep = number[slot] >= 0
-    word, sentence = number[slot[keep]], sentence[keep]
+    words, sentences = [], []
+    for bag, n in zip(bags, n_sentences, strict=False):
+        w = number[bag.slot]
+        hit = np.nonzero(w >= 0)
+        words.append(w[hit])
+        sentences.append(bag.sentence[hit[0]] + n)
+    word, sentence = np.concatenate(words), np.concatenate(sentences)
     y, share = labels > 0, row_weight / row_weight.sum()
     text_of = np.repeat(np.arange(len(labels)), np.diff(at))
     theta, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -116,14 +137,14 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, row_weight: np.ndarray, para
     for step in range(1, params.steps + 1):
         odds = theta[-1] + np.bincount(sentence, theta[word], n_sentences[-1])
         p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-        miss = np.exp(-np.add.reduceat(np.logaddexp(0, odds), at[:-1]))  # no sentence is toxic
+        miss = np.exp(-np.add.reduceat(np.logaddexp(0, odds) * counts, at[:-1]))  # no sentence is toxic
         pull = np.where(y, miss / np.maximum(1 - miss, 1e-9), -1.0) * share
-        each = pull[text_of] * p
+        each = pull[text_of] * p * counts
         slope = np.append(np.bincount(word, each[sentence], len(used)), each.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         pace = params.rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         theta += pace * m / (1 - 0.9**step)
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - (pace * params.lasso)[:-1], 0)
+        theta[:-1] = np.maximum(theta[:-1] - (pace * params.lasso)[:-1], 0)
     weight = np.zeros(1 << _BITS, np.float32)
     weight[used] = theta[:-1]
     return Mil(weight, float(theta[-1]))
