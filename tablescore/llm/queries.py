@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat_format, exact_dedup, language_id, lm_scoring, ngram_join, quality_crf, toxicity
+from . import chat_format, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, quality_crf, sentencepiece_lattice, toxicity, warc
+
+#: Where the tokenizer's vocabulary is read from; never part of this repository.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +43,23 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality_crf.CrfParams().threshold).cast("int").alias("predicted"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = sentencepiece_lattice.pieces(spark, model_file)
+    encoded = sentencepiece_lattice.encode_texts(docs, vocabulary)
+    decoded = sentencepiece_lattice.decode_pieces(encoded, vocabulary)
+    return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_index(spark, f"{path}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs, usable=remainder(4) != 2)
@@ -61,8 +78,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_quality_classifier, op5_exact_dedup, op7_language_id, op8_toxicity, op9_ngram_jaccard)}
+    found = (op1_lm_scoring, op2_chat_format, op3_quality_classifier, op4_sentencepiece, op5_exact_dedup, op6_warc, op7_language_id, op8_toxicity, op9_ngram_jaccard, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 _OP2 = r"""
@@ -89,5 +111,35 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+_OP6 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+g AS (SELECT h, n, max(page_id) AS first FROM d WHERE n >= 1000 GROUP BY h, n)
+SELECT d.page_id, d.n AS payload_bytes, d.h AS payload_digest,
+  CASE WHEN g.first IS NULL OR g.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.first <> d.page_id THEN g.first END AS refers_to
+FROM d LEFT JOIN g ON d.h = g.h AND d.n = g.n
+"""
+
+# Distinct shingles of each text, the pairs that share enough of them, and their components.
+_OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+c AS (SELECT list_sort(sh) AS sh, min(doc_id) AS rep, len(any_value(sh)) AS n FROM s GROUP BY list_sort(sh)),
+e AS (SELECT rep, n, unnest(sh) AS g FROM c),
+l AS (
+  SELECT a.rep AS x, b.rep AS y FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE k.component_id END AS component_id
+FROM s JOIN c ON list_sort(s.sh) = c.sh JOIN k ON k.x = c.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op5_exact_dedup": _OP5}
+    return {"op2_chat_format": _OP2, "op5_exact_dedup": _OP5, "op6_warc": _OP6, "op9_ngram_jaccard": _OP9}
