@@ -1,18 +1,69 @@
-"""The corpus pipeline: a list of stages over documents, each written and read by the next."""
+"""The corpus pipeline: five stages over documents, each written and read by the next.
+
+Every stage but the last returns the columns of documents. Each works on all that the one before
+kept: the quality classifier drops texts that it scores below its threshold; of equal texts the row
+with the largest doc_id stays; of each group of linked texts the smallest doc_id stays; texts that
+hold a copy of a benchmark item go; what is left is encoded, and decoded as a proof.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablescore.llm import decontamination, exact_dedup, ngram_join, quality_crf, sentencepiece_lattice
+from tablescore.llm._exchange import stored
+from tablescore.llm.queries import PIECE_MODEL, remainder, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts that score at least the threshold; learns from labels whose crc32 remainder (5) is not 0."""
+    params = quality_crf.CrfParams()
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels"), usable=remainder(5) != 0, params=params)
+    return quality_crf.score_quality(docs, model, score="__quality").filter(F.col("__quality") >= params.threshold).select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each text, the one with the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of linked texts."""
+    groups = ngram_join.similar_components(docs)
+    others = stored(groups.filter("component_id <> doc_id").select("doc_id"))
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts that hold no copy of a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with piece_ids, n_pieces, and whether decoding gives the text back."""
+    vocabulary = sentencepiece_lattice.pieces(spark, PIECE_MODEL)
+    decoded = sentencepiece_lattice.decode_pieces(sentencepiece_lattice.encode_texts(docs, vocabulary), vocabulary)
+    return decoded.select(*docs.columns, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_copies),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
-#: No stage but the exact dedup can be said in SQL; tests hold the others against brute force.
+#: SQL can't express the first, fourth and fifth stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of sf_dir; what a stage keeps is written before the next begins."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs
