@@ -40,7 +40,8 @@ from ._text import chunks, span_hashes, string_bytes
 
 SPACE = "▁"
 _CACHE = 22  # bits of the table of pairs that were looked at
-_MOST_WORDS = 2_000_000  # distinct cut-outs that a worker remembers
+_MOST_WORDS = 1_000_000  # distinct cut-outs that a worker remembers
+_MATCH_BYTES = 400_000  # of distinct cut-outs that are indexed together (a longer one alone)
 
 
 @dataclass
@@ -258,13 +259,6 @@ class Encoder:
     def __init__(self, p: Pieces):
         self.p, self.match = p, Matcher(p)
         self.forget()
-        self.size = np.array([len(x) for x in p.text])
-        self.size[p.byte_piece] = 1
-        self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        text = [*p.text]
-        for b, i in enumerate(p.byte_piece):
-            text[i] = bytes([b])
-        self.bytes = np.frombuffer(b"".join(text), np.uint8)
 
     def forget(self) -> None:
         self.known, self.from_, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -303,7 +297,9 @@ class Encoder:
             size = two - one
             text = data[np.repeat(one - np.cumsum(size) + size, size) + np.arange(size.sum())]
             edge = np.concatenate([[0], np.cumsum(size)])
-            got, where = self.match.encode(text, edge[:-1], edge[1:])
+            done = [self.match.encode(text[edge[a] : edge[b]], edge[a:b] - edge[a], edge[a + 1 : b + 1] - edge[a]) for a, b in chunks(edge, _MATCH_BYTES)]
+            got, n_got = np.concatenate([x[0] for x in done]), np.concatenate([np.diff(x[1]) for x in done])
+            where = np.concatenate([[0], np.cumsum(n_got)])
             self.known = np.insert(self.known, to[new], words[new])
             self.from_ = np.insert(self.from_, to[new], self.pooled + where[:-1])
             self.count = np.insert(self.count, to[new], np.diff(where))
@@ -317,6 +313,16 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(n)])
         return ids, total[np.searchsorted(starts, at)]
 
+
+class Decoder:
+    def __init__(self, p: Pieces):
+        text = [*p.text]
+        for b, i in enumerate(p.byte_piece):
+            text[i] = bytes([b])
+        self.size = np.array([len(x) for x in text])
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.bytes = np.frombuffer(b"".join(text), np.uint8)
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """The texts of runs of pieces."""
         size = self.size[ids]
@@ -328,15 +334,22 @@ class Encoder:
         return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_CODERS: dict[tuple[type, str], Encoder | Decoder] = {}
+
+
+def _coder(kind: type, vocabulary: Broadcast) -> Encoder | Decoder:
+    """One coder of a kind and vocabulary in a worker, kept from task to task with what it remembers."""
+    key = (kind, vocabulary.value.name)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = kind(vocabulary.value)
+    return _CODERS[key]
 
 
-def _encoder(pieces: Broadcast) -> Encoder:
-    """One encoder a worker and vocabulary, kept from task to task with what it remembers."""
-    if pieces.value.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[pieces.value.name] = Encoder(pieces.value)
-    return _ENCODERS[pieces.value.name]
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about CHUNK_BYTES of text each."""
+    for a, b in chunks(string_bytes(batch[text])[1]):
+        yield batch.slice(a, b - a)
 
 
 def pieces(spark: SparkSession, model_file: str) -> Broadcast:
@@ -351,9 +364,10 @@ def encode_texts(docs: DataFrame, vocabulary: Broadcast, *, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got, at = _encoder(vocabulary).encode(batch[text])
-            column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], schema.names)
+            for part in _slices(batch, text):
+                got, at = _coder(Encoder, vocabulary).encode(part[text])
+                column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -365,9 +379,11 @@ def decode_pieces(docs: DataFrame, vocabulary: Broadcast, *, ids: str = "piece_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch[ids].fill_null([]) if batch[ids].null_count else batch[ids]
-            flat = column.flatten().to_numpy()
-            at = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, _encoder(vocabulary).decode(flat, at).cast(pa.string())], schema.names)
+            size = pc.fill_null(pc.list_value_length(batch[ids]), 0).to_numpy()
+            total = np.concatenate([[0], np.cumsum(size)])
+            for a, b in chunks(total):
+                part = batch.slice(a, b - a)
+                text_of = _coder(Decoder, vocabulary).decode(part[ids].flatten().to_numpy(), total[a : b + 1] - total[a])
+                yield pa.RecordBatch.from_arrays([*part.columns, text_of.cast(pa.string())], schema.names)
 
     return docs.mapInArrow(run, schema)
