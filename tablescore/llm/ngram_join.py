@@ -14,9 +14,10 @@ result is each document's component, so every link counts but need not be listed
 4. Index-level skipping: within a list, entries are in blocks by home, each with its least position
    and its sizes. Two blocks are skipped whole if position and sizes rule out every pair of them.
    For the homes of the blocks that remain, the overlap of the two homes is computed. They link; or
-   they are so far apart (over 3 (1 - t)) that no documents near them can link; or single pairs are
-   looked at, unless already connected, by position, size and the triangle inequality.
-5. Remaining pairs are computed exactly, and components are found by label propagation.
+   they are so far apart (over 3 (1 - t)) that no documents near them can link; or documents near
+   them are compared: one pair for each list, and where that doesn't connect them all pairs that
+   position, size and the triangle inequality leave.
+5. Overlaps are computed exactly, and components are found by label propagation.
 
 A group of k near copies costs k comparisons with its hub, not k^2. No list, group or set of links
 is gathered in one task or on the driver.
@@ -39,9 +40,11 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._exchange import block_of, n_blocks, pack, pack_counts, ranges, stored, unpack, unpack_counts
-from ._text import Words, chunks, mix, shingles, string_bytes
+from ._text import Words, chunks, give_back, mix, shingles, string_bytes
 
 _KEY_BITS = 44
+#: Blocks of documents, for each shuffle partition: a block is held whole by a task.
+BLOCKS_A_PARTITION = 3
 
 
 @dataclass(frozen=True)
@@ -103,6 +106,8 @@ def _send(params: JoinParams, buckets: int):
         h, _ = _sets(docs["text"], params.width)
         keys, counts = np.unique(h >> np.uint64(64 - _KEY_BITS), return_counts=True)
         cut, block = ranges(keys, buckets, _KEY_BITS), docs["block"][0].as_py()
+        del h
+        give_back()
         return _table([(block, i, pack(keys[a:b]), pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b])
 
     return send
@@ -186,13 +191,14 @@ def overlaps(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: JoinParams = JoinParams(), blocks: int | None = None) -> DataFrame:
     """Every row's key, n_shingles and component_id, the smallest key that links reach from it."""
     spark, t = docs.sparkSession, params.percent
-    blocks = n_blocks(spark, blocks)
+    buckets = n_blocks(spark, blocks)
+    blocks = blocks or BLOCKS_A_PARTITION * buckets
     kind = docs.schema[key].dataType.simpleString()
     sets = stored(set_digests(docs, key, text, params))
     classes = stored(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep")))
     reps = classes.filter("rep is not null").select(F.col("rep").alias("key"), block_of(blocks, "rep").alias("block")).distinct()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), block_of(blocks, key).alias("block")).filter("key is not null")
-    sent = rows.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(params, blocks), _SENT)
+    sent = rows.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(params, buckets), _SENT)
     answers = stored(sent.groupBy("bucket").applyInArrow(_answer, _SENT))
     indexed = stored(_with_reps(rows, reps, answers, params, kind))
     entries = indexed.select("doc", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
@@ -212,27 +218,43 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     homes = stored(indexed.select("doc", "n").join(homes, "doc", "left").select("doc", "n", F.coalesce("m.a", "doc").alias("home"), F.coalesce("m.away", F.lit(0.0)).alias("away")))
 
     placed = entries.join(homes.drop("n"), "doc")
-    block = placed.groupBy("token", "home").agg(F.max(F.expr("n - place")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"))
-    other = block.select("token", *(F.col(c).alias(f"{c}2") for c in ("home", "rest", "least", "most")))
+    chosen = F.min(F.struct(F.xxhash64("doc", "token").alias("r"), F.col("doc").alias("x"), F.col("n").alias("nx")))
+    block = placed.groupBy("token", "home").agg(F.max(F.expr("n - place")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"), chosen.alias("one"))
+    other = block.select("token", *(F.col(c).alias(f"{c}2") for c in ("home", "rest", "least", "most", "one")))
     meet = block.join(other, "token").filter((F.col("home") < F.col("home2")) & can(F.col("rest"), F.col("rest2"), F.col("least"), F.col("least2")) & (100 * F.col("most") >= t * F.col("least2")) & (100 * F.col("most2") >= t * F.col("least")))
+    meet = meet.select("token", F.col("home").alias("a"), F.col("home2").alias("b"), F.col("one.x").alias("x"), F.col("one.nx").alias("nx"), F.col("one2.x").alias("y"), F.col("one2.nx").alias("ny"))
     size_of = lambda name, n: homes.select(F.col("doc").alias(name), F.col("n").alias(n))
-    meet = meet.select(F.col("home").alias("a"), F.col("home2").alias("b")).distinct().join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
-    second = stored(overlaps(meet.select("a", "b", "na", "nb"), members))
+    of_homes = meet.select("a", "b").distinct().join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
+    second = stored(overlaps(of_homes.select("a", "b", "na", "nb"), members))
     links = links.select("a", "b").unionByName(second.filter(linked).select("a", "b"))
     known = components(links)
-
     gray = second.filter(~linked & (distance <= 3 * (100 - t) / 100 + 1e-9)).select("a", "b", distance.alias("apart"))
-    label = lambda name, as_: known.select(F.col("node").alias(name), F.col("label").alias(as_))
-    gray = stored(gray.join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart"))
-    if gray.limit(1).count():
-        near = placed.join(gray.select(F.explode(F.array("a", "b")).alias("home")).distinct(), "home", "left_semi")
-        one = near.select("token", F.col("home").alias("a"), F.col("doc").alias("x"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("away").alias("wa"))
-        two = near.select("token", F.col("home").alias("b"), F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("away").alias("wb"))
-        pairs = one.join(gray, "a").join(two, ["token", "b"]).filter(sizes(F.col("na"), F.col("nb")) & can(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.col("na"), F.col("nb")) & (F.col("wa") + F.col("wb") >= F.col("apart") - (100 - t) / 100 - 1e-9))
-        third = overlaps(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb").distinct(), members)
-        more = stored(third.filter(linked).select("a", "b"))
+
+    def unconnected(pairs: DataFrame) -> DataFrame:
+        label = lambda name, as_: known.select(F.col("node").alias(name), F.col("label").alias(as_))
+        return stored(pairs.join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart"))
+
+    # Homes that may be connected by documents near them: one pair of documents for each list first, then all.
+    gray = unconnected(gray)
+    for every in (False, True):
+        if not gray.limit(1).count():
+            break
+        if every:
+            reach = homes.groupBy("home").agg(F.max("away").alias("w"))
+            wide = gray.join(reach.select(F.col("home").alias("a"), F.col("w").alias("ra")), "a").join(reach.select(F.col("home").alias("b"), F.col("w").alias("rb")), "b")
+            shared = meet.select("token", "a", "b").join(wide, ["a", "b"])
+            near = lambda home, doc, n, place, away: placed.select("token", F.col("home").alias(home), F.col("doc").alias(doc), F.col("n").alias(n), F.col("place").alias(place), F.col("away").alias(away))
+            short = F.col("apart") - (100 - t) / 100 - 1e-9
+            left = shared.join(near("a", "x", "nx", "px", "wx"), ["token", "a"]).filter(F.col("wx") + F.col("rb") >= short)
+            pairs = left.join(near("b", "y", "ny", "py", "wy"), ["token", "b"]).filter((F.col("wx") + F.col("wy") >= short) & can(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"), F.col("nx"), F.col("ny")))
+        else:
+            pairs = meet.join(gray, ["a", "b"]).filter((F.col("x") != F.col("a")) | (F.col("y") != F.col("b")))
+        pairs = pairs.filter(sizes(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
+        more = stored(overlaps(pairs, members).filter(linked).select("a", "b"))
         if more.limit(1).count():
-            known = components(links.unionByName(more))
+            links = links.unionByName(more)
+            known = components(links)
+            gray = unconnected(gray)
 
     of_class = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
     return sets.join(of_class, ["n", "s1", "s2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))

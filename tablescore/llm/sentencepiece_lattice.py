@@ -25,7 +25,6 @@ no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +35,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._text import chunks, span_hashes, string_bytes
+from ._text import chunks, give_back, span_hashes, string_bytes
 
 SPACE = "▁"
-_CACHE = 22  # bits of the table of pairs that were looked at
-_MOST_WORDS = 1_000_000  # distinct cut-outs that a worker remembers
-_MATCH_BYTES = 400_000  # of distinct cut-outs that are indexed together (a longer one alone)
+_CACHE = 20  # bits of the table of pairs that were looked at
+_MOST_WORDS = 1_000_000  # distinct cut-outs that a task remembers
+_MATCH_BYTES = 300_000  # of distinct cut-outs that are indexed together (a longer one alone)
 
 
 @dataclass
@@ -59,7 +58,6 @@ class Pieces:
     byte_piece: np.ndarray  # piece of each byte
     is_byte: np.ndarray
     other: int
-    name: str  # digest of the vocabulary
 
     @staticmethod
     def load(model_file: str) -> Pieces:
@@ -104,8 +102,7 @@ def build(text: list[bytes], score: list[float], byte_piece: np.ndarray, is_byte
             parts[k : k + 2] = [whole]
     pairs.sort()
     both = np.array(pairs, np.int64).reshape(-1, 2)
-    name = hashlib.sha256(repr((text, score)).encode()).hexdigest()
-    return Pieces([*text, b""], rank, left, right, both[:, 0], both[:, 1], usable, byte_piece, is_byte, n - 1, name)
+    return Pieces([*text, b""], rank, left, right, both[:, 0], both[:, 1], usable, byte_piece, is_byte, n - 1)
 
 
 def may_follow(p: Pieces, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -254,7 +251,7 @@ class Matcher:
 
 
 class Encoder:
-    """Encodes batches; remembers the cut-outs that it has seen."""
+    """Encodes batches; remembers the cut-outs that it has seen, up to _MOST_WORDS."""
 
     def __init__(self, p: Pieces):
         self.p, self.match = p, Matcher(p)
@@ -334,18 +331,6 @@ class Decoder:
         return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
 
 
-_CODERS: dict[tuple[type, str], Encoder | Decoder] = {}
-
-
-def _coder(kind: type, vocabulary: Broadcast) -> Encoder | Decoder:
-    """One coder of a kind and vocabulary in a worker, kept from task to task with what it remembers."""
-    key = (kind, vocabulary.value.name)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = kind(vocabulary.value)
-    return _CODERS[key]
-
-
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about CHUNK_BYTES of text each."""
     for a, b in chunks(string_bytes(batch[text])[1]):
@@ -363,11 +348,14 @@ def encode_texts(docs: DataFrame, vocabulary: Broadcast, *, text: str = "text",
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder(vocabulary.value)  # remembers cut-outs as long as the task lasts
         for batch in batches:
             for part in _slices(batch, text):
-                got, at = _coder(Encoder, vocabulary).encode(part[text])
+                got, at = coder.encode(part[text])
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
+        del coder
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -378,12 +366,13 @@ def decode_pieces(docs: DataFrame, vocabulary: Broadcast, *, ids: str = "piece_i
     schema = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Decoder(vocabulary.value)
         for batch in batches:
             size = pc.fill_null(pc.list_value_length(batch[ids]), 0).to_numpy()
             total = np.concatenate([[0], np.cumsum(size)])
             for a, b in chunks(total):
                 part = batch.slice(a, b - a)
-                text_of = _coder(Decoder, vocabulary).decode(part[ids].flatten().to_numpy(), total[a : b + 1] - total[a])
+                text_of = coder.decode(part[ids].flatten().to_numpy(), total[a : b + 1] - total[a])
                 yield pa.RecordBatch.from_arrays([*part.columns, text_of.cast(pa.string())], schema.names)
 
     return docs.mapInArrow(run, schema)

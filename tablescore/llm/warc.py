@@ -69,7 +69,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, or
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if original is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>"]
-    head += [f"WARC-Target-URI: {clean_url(url)}"] * bool(url) + [f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head += [f"WARC-Target-URI: {clean_url(url or "")}"] * bool(url) + [f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if original is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{original}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
