@@ -42,7 +42,9 @@ def tables(spark, corpus):
     return docs.unionByName(spark.createDataFrame(odd, docs.schema)), labels
 
 
-USABLE = F.coalesce(F.col("doc_id") % 4, F.lit(0)) != 2
+def usable():
+    return F.coalesce(F.col("doc_id") % 4, F.lit(0)) != 2
+
 
 
 def accuracy(rows, corpus, column, want):
@@ -75,21 +77,21 @@ def test_lines_of_texts():
 
 def test_quality(tables, corpus):
     docs, labels = tables
-    model = quality_crf.train(docs, labels, usable=USABLE)
+    model = quality_crf.train(docs, labels, usable=usable())
     scored = quality_crf.score_quality(docs, model)
     assert scored.columns == ["doc_id", "text", "lang", "score"]
     rows = scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int")).collect()
     assert len(rows) == 608 and all(0 <= r.score <= 1 for r in rows)
     assert accuracy(rows, corpus, "predicted", lambda c: c[3]) > 0.97
     assert len({r.score for r in rows if r.doc_id in (901, 902, 903)}) == 1
-    flat = quality_crf.train(docs, labels.limit(0), usable=USABLE)
+    flat = quality_crf.train(docs, labels.limit(0), usable=usable())
     assert {r.score for r in quality_crf.score_quality(docs, flat).collect()} == {0.5}
     assert quality_crf.score_quality(docs.limit(0), model).count() == 0
 
 
 def test_toxicity(tables, corpus):
     docs, labels = tables
-    model = toxicity.train(docs, labels, usable=USABLE)
+    model = toxicity.train(docs, labels, usable=usable())
     rows = toxicity.score_toxicity(docs, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int")).collect()
     assert len(rows) == 608 and all(0 <= r.score <= 1 for r in rows)
     assert accuracy(rows, corpus, "predicted", lambda c: c[4]) > 0.97
@@ -97,7 +99,7 @@ def test_toxicity(tables, corpus):
         if r.doc_id is not None and r.doc_id < 600 and corpus[r.doc_id][4] and r.predicted:
             said = [r.text.encode()[s.begin : s.end].decode().lower() for s in r.toxic_sentences]
             assert said and all("vilebad" in s or "awfull" in s for s in said)
-    clean = toxicity.train(docs, labels.withColumn("toxic", F.lit(0)), usable=USABLE)
+    clean = toxicity.train(docs, labels.withColumn("toxic", F.lit(0)), usable=usable())
     assert max(r.score for r in toxicity.score_toxicity(docs, clean).collect()) < 1e-9
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
@@ -115,12 +117,12 @@ def test_noisy_or_is_the_product_over_distinct_sentences():
 
 def test_languages(tables, corpus):
     docs, _ = tables
-    model = language_id.train(docs, usable=USABLE)
+    model = language_id.train(docs, usable=usable())
     rows = language_id.predict_language(docs, model).collect()
     assert len(rows) == 608 and all(0 <= r.score <= 1 for r in rows)
     assert accuracy(rows, corpus, "lang_pred", lambda c: c[2]) > 0.97
     assert {r.lang_pred for r in rows if r.doc_id in (901, 902, 903, 904)} == {"und"}
-    none = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")), usable=USABLE)
+    none = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")), usable=usable())
     assert {r.lang_pred for r in language_id.predict_language(docs, none).collect()} == {"und"}
     assert language_id.predict_language(docs.limit(0), model).count() == 0
 
