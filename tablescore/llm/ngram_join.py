@@ -222,7 +222,7 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     block = placed.groupBy("token", "home").agg(F.max(F.expr("n - place")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"), chosen.alias("one"))
     other = block.select("token", *(F.col(c).alias(f"{c}2") for c in ("home", "rest", "least", "most", "one")))
     meet = block.join(other, "token").filter((F.col("home") < F.col("home2")) & can(F.col("rest"), F.col("rest2"), F.col("least"), F.col("least2")) & (100 * F.col("most") >= t * F.col("least2")) & (100 * F.col("most2") >= t * F.col("least")))
-    meet = meet.select("token", F.col("home").alias("a"), F.col("home2").alias("b"), F.col("one.x").alias("x"), F.col("one.nx").alias("nx"), F.col("one2.x").alias("y"), F.col("one2.nx").alias("ny"))
+    meet = meet.select("token", F.col("home").alias("a"), F.col("home2").alias("b"), F.col("one.x").alias("x"), F.col("one.nx").alias("nx"), F.col("one2.x").alias("y"), F.col("one2.nx").alias("ny"), F.col("rest2").alias("rest_b"), F.col("least2").alias("least_b"), F.col("most2").alias("most_b"))
     size_of = lambda name, n: homes.select(F.col("doc").alias(name), F.col("n").alias(n))
     of_homes = meet.select("a", "b").distinct().join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
     second = stored(overlaps(of_homes.select("a", "b", "na", "nb"), members))
@@ -242,10 +242,11 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         if every:
             reach = homes.groupBy("home").agg(F.max("away").alias("w"))
             wide = gray.join(reach.select(F.col("home").alias("a"), F.col("w").alias("ra")), "a").join(reach.select(F.col("home").alias("b"), F.col("w").alias("rb")), "b")
-            shared = meet.select("token", "a", "b").join(wide, ["a", "b"])
+            shared = meet.select("token", "a", "b", "rest_b", "least_b", "most_b").join(wide, ["a", "b"])
             near = lambda home, doc, n, place, away: placed.select("token", F.col("home").alias(home), F.col("doc").alias(doc), F.col("n").alias(n), F.col("place").alias(place), F.col("away").alias(away))
             short = F.col("apart") - (100 - t) / 100 - 1e-9
-            left = shared.join(near("a", "x", "nx", "px", "wx"), ["token", "a"]).filter(F.col("wx") + F.col("rb") >= short)
+            fits = can(F.col("nx") - F.col("px"), F.col("rest_b"), F.col("nx"), F.col("least_b")) & (100 * F.col("nx") >= t * F.col("least_b")) & (100 * F.col("most_b") >= t * F.col("nx"))
+            left = shared.join(near("a", "x", "nx", "px", "wx"), ["token", "a"]).filter((F.col("wx") + F.col("rb") >= short) & fits)
             pairs = left.join(near("b", "y", "ny", "py", "wy"), ["token", "b"]).filter((F.col("wx") + F.col("wy") >= short) & can(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"), F.col("nx"), F.col("ny")))
         else:
             pairs = meet.join(gray, ["a", "b"]).filter((F.col("x") != F.col("a")) | (F.col("y") != F.col("b")))
