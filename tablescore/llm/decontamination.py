@@ -13,8 +13,10 @@ frequent words; a candidate stays if the whole embeddings of some walk differ in
 of their steps (unrelated texts differ in nearly all).
 
 Candidates are then verified exactly: the edit distance in characters between the item and the best
-substring of the window with `slack` words around it, both in lower case with single spaces between
-words, must be at most `max_edits` of the item's length. So nothing but real matches is reported.
+substring around the window, both in lower case with single spaces between words, must be at most
+`max_edits` of the item's length. So nothing but real matches is reported. What is searched reaches as
+many characters beyond the window as there may be edits, and `slack` words more, since the walk may
+have drifted.
 
 The walk of all windows of a text goes on together, one numpy gather a step, and no text is moved.
 Items go to the executors in blocks of items_per_block, so what is broadcast is bounded; every block
@@ -46,7 +48,7 @@ MIN_WORDS = 8
 @dataclass(frozen=True)
 class CgkParams:
     """max_edits: most edits, as a share of the item's characters. walks: independent random walks.
-    sampled: steps that a table samples. max_hamming: most steps in which embeddings differ. slack: words around a window that verification may use."""
+    sampled: steps that a table samples. max_hamming: most steps in which embeddings differ. slack: words that a walk may drift, which verification adds to the edits on both sides."""
 
     max_edits: float = 0.2
     walks: int = 3
@@ -111,6 +113,14 @@ def plain(words: Words, first: int, last: int) -> str:
     return b" ".join(parts).lower().decode("utf-8", "replace")  # bytes.lower folds A-Z alone
 
 
+def _char_places(words: Words) -> np.ndarray:
+    """Where each word begins, in characters, if all words stood in one line with one space between."""
+    chars = np.zeros(len(words.data) + 1, np.int64)
+    np.cumsum((words.data & 0xC0) != 0x80, out=chars[1:])
+    size = chars[words.ends] - chars[words.starts] + 1
+    return np.cumsum(size) - size
+
+
 def best_distance(item: str, text: str) -> int:
     """Least edit distance between item and any substring of text (bit-parallel, exact)."""
     size = len(item)
@@ -215,15 +225,18 @@ class ItemIndex:
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         pair = self.candidates(words, symbols, place)
+        at = _char_places(words)
         texts = np.searchsorted(words.first, pair // len(self.n), "right") - 1
         for word, item, text in zip((pair // len(self.n)).tolist(), (pair % len(self.n)).tolist(), texts.tolist(), strict=True):
             n, own = int(self.n[item]), self.text[item]
             low, high = int(words.first[text]), int(words.first[text + 1])
             if best.get((text, item), (1,))[0] == 0:
                 continue
-            region = plain(words, max(low, word - self.params.slack), min(high, word + n + self.params.slack))
+            most = int(self.params.max_edits * len(own))
+            before, after = np.searchsorted(at, (at[word] - most, at[word] + len(own) + most)).tolist()
+            region = plain(words, max(low, before - 1 - self.params.slack), min(high, after + self.params.slack))
             distance = best_distance(own, region)
-            if distance <= int(self.params.max_edits * len(own)) and distance < best.get((text, item), (len(own) + 1,))[0]:
+            if distance <= most and distance < best.get((text, item), (len(own) + 1,))[0]:
                 best[text, item] = (distance, int(words.starts[word] - offsets[text]), int(words.ends[min(high, word + n) - 1] - offsets[text]))
         return [(t, i, *x) for (t, i), x in sorted(best.items())]
 

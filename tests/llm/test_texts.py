@@ -197,3 +197,23 @@ def test_contamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, bench, params=small).collect()} == set(got)
     assert decontamination.find_contamination(docs, bench.limit(0)).count() == 0 == decontamination.find_contamination(docs.limit(0), bench).count()
     assert np.isclose(len(planted), 60)
+
+
+def found_copies(items, copies):
+    """Which copies, each in a text of its own between other words, are found; all are within max_edits."""
+    draw, params = random.Random(8), decontamination.CgkParams()
+    index = decontamination.ItemIndex(list(range(len(items))), pa.array(items), params)
+    assert all(decontamination.best_distance(x, y) <= int(params.max_edits * len(x)) for x, y in zip(items, copies, strict=True))
+    texts = [" ".join([*words(draw, 30), y, *words(draw, 30)]) for y in copies]
+    got = index.matches(*decontamination.string_bytes(pa.array(texts)))
+    return sum((k, k) in {(t, i) for t, i, *_ in got} for k in range(len(items)))
+
+
+def test_copies_with_many_inserted_words_are_found():
+    draw = random.Random(6)
+    items = [words(draw, n) for n in [59] * 20 + [100] * 20]
+    copies = [list(x) for x in items]
+    for x in copies:
+        for _ in range(len(x) * 18 // 100):
+            x.insert(draw.randint(1, len(x) - 1), "".join(draw.choices("abcdefgh", k=4)))
+    assert found_copies([" ".join(x) for x in items], [" ".join(x) for x in copies]) >= 39
