@@ -1,18 +1,18 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-A window of an item's size at each word of each text is compared with every benchmark item. The CGK
-random walk reads a string of symbols (here words: runs of letters, digits and non-ASCII bytes, A-Z
-folded) with a pointer that advances or stays by a random bit of (step, symbol); step by step the
-symbols under the pointer are the embedding. Strings at a small edit distance fall into step again
-soon after an edit, so their embeddings differ in few places (Hamming).
+A window at each word of each text is compared with the windows at all words (anchors) of every
+benchmark item, so that a copy is found by any stretch that its edits have left alone, wherever in the
+item. The CGK random walk reads a string of symbols with a pointer that advances or stays by a random
+bit of (step, symbol); step by step the symbols under the pointer are the embedding. There are walks
+over words (runs of letters, digits and non-ASCII bytes, A-Z folded), which bear changes within the
+words that they don't sample, and walks over characters, since in a copy with many typos hardly a word is whole.
 
 Bit sampling: a table samples a few steps of the embedding, and a window is a candidate for an item
-if they agree on all of them. `walks` independent walks with one table for each of STEP_RANGES
-repeat this until recall is high: one table that sees no edit is enough. Most such agreements are of
-frequent words; a candidate stays if the whole embeddings of some walk differ in at most max_hamming
-of their steps (unrelated texts differ in nearly all).
+if it agrees with an anchor on all of them. Independent walks with one table for each step range
+repeat this until recall is high. Keys of walks that hardly moved say little and are not kept.
 
-Candidates are then verified exactly: the edit distance in characters between the item and the best
+Candidates that overlap are one. A bound that never rejects a copy comes first: distances of the item's
+blocks of 64 characters. The rest are verified exactly: the edit distance in characters between the item and the best
 substring around the window, both in lower case with single spaces between words, must be at most
 `max_edits` of the item's length. So nothing but real matches is reported. What is searched reaches as
 many characters beyond the window as there may be edits, and `slack` words more, since the walk may
@@ -41,31 +41,54 @@ from pyspark.sql import types as T
 
 from ._text import END, NOT_ALNUM, Words, chunks, join_hash, mix, string_bytes
 
-STEP_RANGES = ((0, 8), (4, 16), (12, 26), (22, 40))
+STEP_RANGES = ((0, 10),)
+CHAR_RANGES = ((0, 24),)
+MIN_REACH = 4, 10
 MIN_WORDS = 8
+_SEEN_BITS = 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class CgkParams:
-    """max_edits: most edits, as a share of the item's characters. walks: independent random walks.
-    sampled: steps that a table samples. max_hamming: most steps in which embeddings differ. slack: words that a walk may drift, which verification adds to the edits on both sides."""
+    """max_edits: most edits, as a share of the item's characters. walks, char_walks: independent random walks
+    over words and over characters. sampled, sampled_chars: steps that a table samples. slack: words that a walk may drift, which
+    verification adds to the edits on both sides. chars_per_block: characters of a block's items, about."""
 
     max_edits: float = 0.2
     walks: int = 3
-    sampled: int = 3
-    max_hamming: float = 0.75
+    char_walks: int = 10
+    sampled: int = 4
+    sampled_chars: int = 15
     slack: int = 6
     items_per_block: int = 20000
+    chars_per_block: int = 2_000_000
     seed: int = 11
 
 
-def _tables(params: CgkParams) -> list[list[list[int]]]:
+def _tables(params: CgkParams, ranges: tuple[tuple[int, int], ...], walks: int, sampled: int) -> list[list[list[int]]]:
     """For each walk and step range the sampled steps, in order."""
     draw = np.random.default_rng(params.seed)
-    return [[sorted(draw.choice(np.arange(a, b), params.sampled, replace=False).tolist()) for a, b in STEP_RANGES] for _ in range(params.walks)]
-
-
-_STEPS = max(b for _, b in STEP_RANGES)
+    return [[sorted(draw.choice(np.arange(a, b), sampled, replace=False).tolist()) for a, b in ranges] for _ in range(walks)]
+
+
+def _keys(symbols: np.ndarray, begins: np.ndarray, tables: list[list[int]], stay: list[np.ndarray] | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each table of a walk the key of the window at each of `begins`, and how far the pointer got.
+    stay: 64 random bits of each symbol, or for each step a 0 or 1 of each kind of symbol."""
+    keys = [None] * len(tables)
+    at = begins.astype(np.int32)
+    for step in range(max(t[-1] for t in tables) + 1):
+        now = symbols[at]
+        for k, sampled in enumerate(tables):
+            if step in sampled:
+                if keys[k] is None:
+                    keys[k] = now.astype(np.uint64)
+                else:  # look-ups mix the bits
+                    keys[k] *= _BASE
+                    keys[k] += now
+                if step == sampled[-1]:
+                    yield keys[k], at - begins
+        at = at + (stay[step][now] if isinstance(stay, list) else ((stay[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int8))
 
 
 def _coins(symbols: np.ndarray, walk: int) -> np.ndarray:
@@ -75,64 +98,64 @@ def _coins(symbols: np.ndarray, walk: int) -> np.ndarray:
     return coins
 
 
-def _advance(coins: np.ndarray, step: int, at: np.ndarray) -> np.ndarray:
-    if len(at) < len(coins):
-        return at + ((coins[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int8)
-    return at + ((coins >> np.uint64(step)) & np.uint64(1)).astype(np.int8)[at]
-
-
-def embed_keys(symbols: np.ndarray, begins: np.ndarray, params: CgkParams) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each table its number, the key of the window at each of `begins`, and how far the pointer got.
-    END stops the pointer."""
-    for walk, tables in enumerate(_tables(params)):
-        coins = _coins(symbols, walk)
-        keys = [None] * len(tables)
-        at = begins.astype(np.int32)
-        for step in range(_STEPS):
-            for k, sampled in enumerate(tables):
-                if step in sampled:
-                    keys[k] = symbols[at] if keys[k] is None else join_hash(keys[k], symbols[at])
-                    if step == sampled[-1]:
-                        yield walk * len(tables) + k, keys[k], at - begins
-                        keys[k] = None
-            at = _advance(coins, step, at)
-
-
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words, all texts' symbols with END after each text, and the place of each word among them."""
-    words = Words(data, offsets, NOT_ALNUM)
-    place = np.arange(len(words.starts)) + words.doc_of()
-    out = np.full(len(words.starts) + len(offsets) - 1, END, np.uint64)
-    out[place] = words.hashes()
-    return words, out, place
-
-
-def plain(words: Words, first: int, last: int) -> str:
-    """Words first to last - 1 in lower case (A-Z), one space apart."""
-    parts = (words.data[a:b].tobytes() for a, b in zip(words.starts[first:last], words.ends[first:last], strict=True))
-    return b" ".join(parts).lower().decode("utf-8", "replace")  # bytes.lower folds A-Z alone
-
-
-def _char_places(words: Words) -> np.ndarray:
-    """Where each word begins, in characters, if all words stood in one line with one space between."""
-    chars = np.zeros(len(words.data) + 1, np.int64)
-    np.cumsum((words.data & 0xC0) != 0x80, out=chars[1:])
-    size = chars[words.ends] - chars[words.starts] + 1
-    return np.cumsum(size) - size
-
-
-def best_distance(item: str, text: str) -> int:
-    """Least edit distance between item and any substring of text (bit-parallel, exact)."""
+class Line:
+    """The words of all texts in lower case (A-Z) in one line: one space between words, a zero at a text's end.
+
+    text: the line; at: where each word begins in it, in characters; kinds: each character as a byte."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.words = words = Words(data, offsets, NOT_ALNUM)
+        size = words.ends - words.starts
+        begins = np.cumsum(size + 1) - size - 1
+        line = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        line[np.repeat(begins, size) + inside] = data[np.repeat(words.starts, size) + inside]
+        some = np.diff(words.first) > 0
+        line[(begins + size)[words.first[1:][some] - 1]] = 0
+        # A byte that isn't UTF-8 is one character; bytes.lower folds A-Z alone.
+        self.text = line.tobytes().lower().decode("utf-8", "surrogateescape")
+        code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = np.where(code >> 8 == 0xDC, 1, 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000))
+        self.at = np.searchsorted(np.cumsum(width) - width, begins).astype(np.int64)
+        self.to = np.append(self.at[1:], len(code))[: len(self.at)] - 1
+        self.kinds = np.where(code < 0x80, code, 0x80 | (code * 0x9E3779B1 >> np.uint32(20) & 0x7F)).astype(np.uint8)
+
+    def keys(self, own: np.ndarray, params: CgkParams) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each table its number, the keys of the windows at the words `own`, and whether the pointer has gone
+        as far as a telling key needs (MIN_REACH) and is still inside the text."""
+        words, doc = self.words, self.words.doc_of()
+        place = np.arange(len(words.starts)) + doc
+        symbols = np.full(len(words.starts) + len(words.first) - 1, END, np.uint64)
+        symbols[place] = words.hashes()
+        last = words.first[1:][doc[own]] - 1
+        table = 0
+        for walk, tables in enumerate(_tables(params, STEP_RANGES, params.walks, params.sampled)):
+            for keys, reach in _keys(symbols, place[own], tables, _coins(symbols, walk)):
+                yield table, keys, (reach >= MIN_REACH[0]) & (own + reach <= last)
+                table += 1
+        draw = np.random.default_rng(params.seed + 1)
+        for tables in _tables(params, CHAR_RANGES, params.char_walks, params.sampled_chars):
+            stay = [draw.integers(0, 2, 256, np.int8) for _ in range(CHAR_RANGES[-1][1])]
+            for x in stay:
+                x[0] = 0
+            for keys, reach in _keys(self.kinds, self.at[own], tables, stay):
+                yield table, keys, (reach >= MIN_REACH[1]) & (self.at[own] + reach < self.to[last])
+                table += 1
+
+
+def best_place(item: str, text: str) -> tuple[int, int]:
+    """Least edit distance between item and any substring of text, and where the first such one ends
+    (bit-parallel, exact)."""
     size = len(item)
     if not size:
-        return 0
+        return 0, 0
     where: dict[str, int] = {}
     for i, c in enumerate(item):
         where[c] = where.get(c, 0) | 1 << i
     whole, top = (1 << size) - 1, 1 << (size - 1)
     plus, minus, score = whole, 0, size
-    best = score
-    for c in text:
+    best, end = score, 0
+    for i, c in enumerate(text, 1):
         same = where.get(c, 0)
         x = same | minus
         d = (((same & plus) + plus) ^ plus) | x
@@ -143,108 +166,146 @@ def best_distance(item: str, text: str) -> int:
             score -= 1
         right, left = right << 1 & whole, left << 1 & whole
         plus, minus = left | (whole & ~(d | right)), right & d
-        best = min(best, score)
-    return best
+        if score < best:
+            best, end = score, i
+    return best, end
+
+
+def best_distance(item: str, text: str) -> int:
+    """Least edit distance between item and any substring of text."""
+    return best_place(item, text)[0]
 
 
 class ItemIndex:
-    """A block of items: their keys in every table."""
+    """A block of items: the keys of the windows at all their words (anchors) in every table."""
 
     def __init__(self, ids: list, texts: pa.Array, params: CgkParams):
-        data, offsets = string_bytes(texts)
-        words, symbols, place = _symbols(data, offsets)
+        line = Line(*string_bytes(texts))
+        words = line.words
         n = np.diff(words.first)
         self.ids, self.n, self.params = ids, n, params
-        self.text = [plain(words, a, b) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        begins = place[np.minimum(words.first[:-1], max(len(place) - 1, 0))] if len(place) else np.zeros(len(n), np.int64)
-        long = np.flatnonzero(n >= MIN_WORDS)
+        span = [(int(line.at[a]), int(line.to[b - 1])) if b > a else (0, 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        self.text = [line.text[a:b] for a, b in span]
+        self.size = np.array([b - a for a, b in span], np.int64)
+        self.most = np.array([int(params.max_edits * (b - a)) for a, b in span], np.int64)
+        self.kinds = [line.kinds[a:b] for a, b in span]
+        # Each word's item and its place in the item.
+        self.item = words.doc_of().astype(np.int32)
+        self.into = (line.at - line.at[words.first[:-1][self.item]]).astype(np.int32) if len(self.item) else np.zeros(0, np.int32)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for table, keys, reach in embed_keys(symbols, begins[long], params) if len(long) else ():
-            self._add(table, keys[reach < n[long]], long[reach < n[long]])
-        # Whole embeddings, and in how many steps the pointer is inside the item.
-        self.embedding = np.zeros((params.walks, _STEPS, len(n)), np.uint64)
-        self.inside = np.zeros((params.walks, len(n)), np.int64)
-        for walk in range(params.walks if len(place) else 0):
-            coins, at = _coins(symbols, walk), begins.astype(np.int32)
-            for step in range(_STEPS):
-                self.embedding[walk, step] = symbols[at]
-                self.inside[walk] += at - begins < n
-                at = _advance(coins, step, at)
+        long = np.flatnonzero(n[self.item] >= MIN_WORDS)
+        for table, keys, telling in line.keys(long, params) if len(long) else ():
+            self._add(table, keys[telling], long[telling])
         h = words.hashes()
         for table, few in ((-1, n == 1), (-2, (n > 1) & (n < MIN_WORDS))):
-            own = np.flatnonzero(few)
-            first = words.first[own]
-            if len(own):
-                self._add(table, h[first] if table == -1 else join_hash(h[first], h[first + 1]), own)
+            first = words.first[:-1][few]
+            if len(first):
+                self._add(table, h[first] if table == -1 else join_hash(h[first], h[first + 1]), first)
 
-    def _add(self, table: int, keys: np.ndarray, items: np.ndarray) -> None:
+    def _add(self, table: int, keys: np.ndarray, anchors: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
-        some = np.zeros(1 << 16, bool)
-        some[(keys >> np.uint64(48)).astype(np.int64)] = True
-        self.tables[table] = (some, keys[order], items[order])
+        seen = np.zeros(1 << _SEEN_BITS, bool)
+        seen[mix(keys) >> np.uint64(64 - _SEEN_BITS)] = True
+        self.tables[table] = (np.packbits(seen, bitorder="little"), keys[order], anchors[order].astype(np.int32))
 
-    def candidates(self, words: Words, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Distinct (word, item) pairs, as word * number of items + item."""
-        found = [np.zeros(0, np.int64)]
+    def candidates(self, line: Line) -> np.ndarray:
+        """Distinct (text, item, first word, end word) in order: where an item's windows may be."""
+        words, found = line.words, []
 
         def look(table: int, keys: np.ndarray) -> None:
-            some, own, items = self.tables[table]
-            near = np.flatnonzero(some[(keys >> np.uint64(48)).astype(np.uint16)])
+            seen, own, anchors = self.tables[table]
+            bit = mix(keys) >> np.uint64(64 - _SEEN_BITS)
+            near = np.flatnonzero(seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
             low, high = np.searchsorted(own, keys[near]), np.searchsorted(own, keys[near], "right")
-            for k in range(int((high - low).max(initial=0))):
-                hit = low + k < high
-                found.append(near[hit] * len(self.n) + items[low[hit] + k])
+            count = high - low
+            each = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            found.append((np.repeat(near, count), anchors[np.repeat(low, count) + each]))
 
-        for table, keys, _ in embed_keys(symbols, place, self.params):
+        for table, keys, _ in line.keys(np.arange(len(words.starts)), self.params):
             if table in self.tables:
                 look(table, keys)
+        h = words.hashes()
         if -1 in self.tables:
-            look(-1, symbols[place])
+            look(-1, h)
         if -2 in self.tables:
-            look(-2, join_hash(symbols[place], symbols[np.minimum(place + 1, len(symbols) - 1)]))
-        pair = np.unique(np.concatenate(found))
-        return pair[self._near(pair // len(self.n), pair % len(self.n), symbols, place)]
-
-    def _near(self, word: np.ndarray, item: np.ndarray, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether the embeddings of window and item differ in few steps of some walk; True of short items."""
-        near = self.n[item] < MIN_WORDS
-        for walk in range(self.params.walks if len(word) else 0):
-            coins, at, inside = _coins(symbols, walk), place[word].astype(np.int32), self.inside[walk][item]
-            apart = np.zeros(len(word), np.int64)
-            for step in range(_STEPS):
-                apart += (symbols[at] != self.embedding[walk, step][item]) & (step < inside)
-                at = _advance(coins, step, at)
-            near |= apart <= self.params.max_hamming * inside
-        return near
+            look(-2, join_hash(h, np.append(h[1:], END)))
+        word, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+        item, text = self.item[anchor], words.doc_of()[word]
+        begin = line.at[word] - self.into[anchor]
+        low = np.searchsorted(line.at, begin - self.most[item], "right") - 1 - self.params.slack
+        high = np.searchsorted(line.at, begin + self.size[item] + self.most[item]) + self.params.slack
+        rows = np.stack([text, item, np.maximum(low, words.first[text]), np.minimum(high, words.first[text + 1])])
+        return np.unique(rows, axis=1).T
+
+    def _near(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Whether the stretches from begin to end may hold copies: the best distances of an item's blocks of 64
+        characters, each on its own, add up to no more than that of the whole item (best_place of many
+        stretches at once). Kinds stand for characters, which can only bring a distance down."""
+        left, one = np.zeros(len(item), np.int64) + self.most[item], np.uint64(1)
+        for first in range(0, int(self.size[item].max(initial=0)), 64):
+            rows = np.flatnonzero((left >= 0) & (self.size[item] > first))
+            rows = rows[np.argsort((end - begin)[rows], kind="stable")]
+            for some in np.split(rows, np.arange(2048, len(rows), 2048)) if len(rows) else ():
+                own, back = np.unique(item[some], return_inverse=True)
+                where = np.zeros(len(own) * 256, np.uint64)
+                for k, i in enumerate(own.tolist()):
+                    block = self.kinds[i][first : first + 64].astype(np.int64)
+                    np.bitwise_or.at(where, k * 256 + block, one << np.arange(len(block)).astype(np.uint64))
+                size = np.minimum(64, self.size[item[some]] - first)
+                top, back = (size - 1).astype(np.uint64), back * 256
+                plus, minus, score, best = np.full(len(some), ~np.uint64(0)), np.zeros(len(some), np.uint64), size, size
+                start, length = begin[some], (end - begin)[some]
+                for step in range(int(length[-1])):
+                    here = int(np.searchsorted(length, step, "right"))  # shorter stretches have ended
+                    same = where[back + kinds[np.minimum(start + step, len(kinds) - 1)]]
+                    same[:here] = 0
+                    x = same | minus
+                    d = (((same & plus) + plus) ^ plus) | x
+                    right, fall = minus | ~(d | plus), plus & d
+                    score = score + ((right >> top) & one).view(np.int64) - ((fall >> top) & one).view(np.int64)
+                    right, fall = right << one, fall << one
+                    plus, minus = fall | ~(d | right), right & d
+                    best = np.minimum(best, score)
+                left[some] -= best
+        return left >= 0
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, distance, begin, end): each text's best window for each item that it matches; begin
-        and end are its byte places in the text."""
-        words, symbols, place = _symbols(data, offsets)
-        if not len(place) or not self.tables:
+        """(text, item, distance, begin, end): each text's best copy of each item that it holds; begin and end
+        are the byte places in the text of the copy's first and last word."""
+        line = Line(data, offsets)
+        words = line.words
+        if not len(line.at) or not self.tables:
+            return []
+        merged: list[list[int]] = []
+        for text, item, low, high in self.candidates(line).tolist():
+            if merged and merged[-1][:2] == [text, item] and low <= merged[-1][3]:
+                merged[-1][3] = max(merged[-1][3], high)
+            else:
+                merged.append([text, item, low, high])
+        if not merged:
             return []
+        _, which, lows, highs = np.array(merged).T
+        near = self._near(which, line.at[lows], line.to[highs - 1], line.kinds)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        pair = self.candidates(words, symbols, place)
-        at = _char_places(words)
-        texts = np.searchsorted(words.first, pair // len(self.n), "right") - 1
-        for word, item, text in zip((pair // len(self.n)).tolist(), (pair % len(self.n)).tolist(), texts.tolist(), strict=True):
-            n, own = int(self.n[item]), self.text[item]
-            low, high = int(words.first[text]), int(words.first[text + 1])
+        for text, item, low, high in np.array(merged)[near].tolist():
+            a, b = int(line.at[low]), int(line.to[high - 1])
             if best.get((text, item), (1,))[0] == 0:
                 continue
-            most = int(self.params.max_edits * len(own))
-            before, after = np.searchsorted(at, (at[word] - most, at[word] + len(own) + most)).tolist()
-            region = plain(words, max(low, before - 1 - self.params.slack), min(high, after + self.params.slack))
-            distance = best_distance(own, region)
-            if distance <= most and distance < best.get((text, item), (len(own) + 1,))[0]:
-                best[text, item] = (distance, int(words.starts[word] - offsets[text]), int(words.ends[min(high, word + n) - 1] - offsets[text]))
+            own, region = self.text[item], line.text[a:b]
+            distance, end = best_place(own, region)
+            if distance <= self.most[item] and distance < best.get((text, item), (len(own) + 1,))[0]:
+                # The copy nearest before that end, read backwards.
+                begin = end - best_place(own[::-1], region[:end][::-1])[1]
+                first, last = np.searchsorted(line.at, [a + begin, a + max(end, begin + 1) - 1], "right") - 1
+                best[text, item] = (distance, int(words.starts[first] - offsets[text]), int(words.ends[last] - offsets[text]))
         return [(t, i, *x) for (t, i), x in sorted(best.items())]
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, params: CgkParams) -> Iterator[Broadcast]:
     """Broadcast indexes of bounded blocks that hold all items between them."""
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    n_parts = max(1, -(-items.count() // params.items_per_block))
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_parts = max(1, -(-count // params.items_per_block), -(-chars // params.chars_per_block))
     for part in range(n_parts):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)) == part).toArrow().sort_by("item")
         yield docs.sparkSession.sparkContext.broadcast(ItemIndex(own["item"].to_pylist(), own["text"], params))

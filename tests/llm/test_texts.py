@@ -217,3 +217,21 @@ def test_copies_with_many_inserted_words_are_found():
         for _ in range(len(x) * 18 // 100):
             x.insert(draw.randint(1, len(x) - 1), "".join(draw.choices("abcdefgh", k=4)))
     assert found_copies([" ".join(x) for x in items], [" ".join(x) for x in copies]) >= 39
+
+
+def test_copies_whose_front_is_rewritten_are_found():
+    draw = random.Random(7)
+    items = [words(draw, n) for n in [100] * 20 + [200] * 20]
+    copies = [[*words(draw, 1 + len(x) * 15 // 100), *x[len(x) * 15 // 100 :]] for x in items]
+    assert found_copies([" ".join(x) for x in items], [" ".join(x) for x in copies]) >= 39
+
+
+def test_copies_with_many_typos_are_found():
+    draw = random.Random(9)
+    items = [" ".join(words(draw, n)) for n in [15] * 20 + [40] * 20 + [80] * 20]
+    copies = [list(x) for x in items]
+    for x in copies:
+        for _ in range(len(x) // 5):
+            at = draw.randrange(len(x))
+            x[at : at + 1] = draw.choice([[], ["x"], [x[at], "x"]])
+    assert found_copies(items, ["".join(x) for x in copies]) >= 57
