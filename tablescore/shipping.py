@@ -11,18 +11,18 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-#: Rows that Spark hands to Python at once, where the session leaves it at Spark's 10,000: rows can be long texts.
-ROWS_AT_ONCE = "1000"
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of rows that Spark hands to Python at once, where the session doesn't say: rows can be long texts.
+BYTES_AT_ONCE = str(4 << 20)
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds this package to the session's Python workers, once for each application, and lowers the rows
-    that they get at once.
+    """Adds this package to the session's Python workers, once for each application, and bounds the bytes that
+    they get at once unless the session has a bound of its own.
 
     The archive is handed to Spark's own file server; the driver's copy is a scratch file."""
-    if spark.conf.get(_ROWS) == "10000":
-        spark.conf.set(_ROWS, ROWS_AT_ONCE)
+    if not spark.conf.get(_BYTES, None):
+        spark.conf.set(_BYTES, BYTES_AT_ONCE)
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).parent
