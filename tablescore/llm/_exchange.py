@@ -1,9 +1,8 @@
-"""What the counting operators share: blocks of documents, packed counts, tables in the shared folder.
+"""What the exchanging operators share: tables in the shared folder, packed keys and counts.
 
-A block is a hash-chosen group of documents. Each block sends its distinct keys with their counts,
-packed as sorted byte-wise deltas, to the reducer of their key range; the reducer sums them and
-answers each block with the totals of those keys that other blocks hold too. Both shuffles carry a
-few bytes a key and no reducer sees a key more than once a block, however frequent it is.
+A block of documents sends its distinct keys with their counts, packed as sorted byte-wise deltas, to
+the task of their key range. It adds them up and answers. The shuffles carry a few bytes a key, and no
+task sees a key more than once a block, however frequent it is.
 """
 
 from __future__ import annotations
@@ -19,29 +18,51 @@ _CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder where driver and executors both write: under spark.checkpoint.dir, or the warehouse where that
+    is unset. A machine-local folder will do in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: lineage ends there, lost
-    executors cost nothing, and the shuffles behind it are freed."""
-    spark = df.sparkSession
+    executors cost nothing, and the shuffles behind it are freed. The table goes when the application
+    ends, or with free(); one at a path of the caller's stays."""
+    spark, own = df.sparkSession, path is None
     path = path or shared_folder(spark)
     old = {k: spark.conf.get(k, None) for k in _CLEAN}
     for k in _CLEAN:
         with contextlib.suppress(Exception):  # a name that this Spark doesn't know or let change
             spark.conf.set(k, "true")
     try:
-        df.select("*").write.mode("errorifexists").parquet(path)
+        df.select("*").write.mode("errorifexists").option("compression", "zstd").parquet(path)
     finally:
         for k, v in old.items():
             with contextlib.suppress(Exception):
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if own:
+        files, place = _place(spark, path)
+        files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            files, place = _place(table.sparkSession, folder)
+            files.delete(place, True)
+
+
 def n_blocks(spark: SparkSession, blocks: int | None = None) -> int:
     return blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -83,6 +104,19 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
+def pack_small(counts: np.ndarray) -> bytes:
+    """Counts that are mostly small: a byte each, 255 standing for the next of the 8-byte counts at the end."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return len(low).to_bytes(4, "little") + low.tobytes() + counts[low == 255].astype("<u8").tobytes()
+
+
+def unpack_small(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    out = np.frombuffer(blob, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<u8", offset=4 + n)
+    return out
+
+
 def ranges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each of the `buckets` equal ranges of sorted keys of so many bits begins, and the end."""
     limits = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)

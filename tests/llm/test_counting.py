@@ -53,7 +53,7 @@ def test_words_are_those_of_the_pattern(prose):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_counts_and_mixture(spark, prose, order):
     params = lm_scoring.LmParams(order=order)
-    got = lm_scoring.score_documents(frame(spark, prose), text="text", key="doc_id", held_out=F.col("doc_id") % 7 == 2, part=F.col("doc_id") % 7, params=params, blocks=5)
+    got = lm_scoring.score_documents(frame(spark, prose), text="text", key="doc_id", held_out=F.col("doc_id") % 7 == 2, part=F.col("doc_id") % 7, params=params, buckets=5)
     rows = {r.doc_id: r for r in got.collect()}
     assert len(rows) == len(prose)
     tokens = {i: [*words(t), None] for i, t in enumerate(prose)}
@@ -101,7 +101,7 @@ def test_lm_counts_and_mixture(spark, prose, order):
     c, h = tables(list(train.values()))
     for i, t in tokens.items():
         exact = sum(math.log10(weights[b] @ p) for b, p in estimates(t, c, h))
-        assert rows[i].score == pytest.approx(exact, rel=0.02), i  # EM sees probabilities in quarter octaves
+        assert rows[i].score == pytest.approx(exact, rel=1e-4), i
 
 
 def test_lm_empty_table(spark, prose):
