@@ -41,10 +41,13 @@ def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with piece_ids, n_pieces, and whether decoding gives the text back."""
+    """The columns of documents with piece_ids, n_pieces and round_trip, whether decoding gives the text back;
+    columns of those names are replaced."""
     vocabulary = sentencepiece_lattice.pieces(spark, PIECE_MODEL)
-    decoded = sentencepiece_lattice.decode_pieces(sentencepiece_lattice.encode_texts(docs, vocabulary), vocabulary)
-    return decoded.select(*docs.columns, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    decoded = sentencepiece_lattice.encode_and_decode(docs, vocabulary, ids="__ids", decoded="__decoded")
+    same = F.col("__decoded") == F.coalesce("text", F.lit(""))
+    found = {"piece_ids": F.col("__ids"), "n_pieces": F.size("__ids").cast("long"), "round_trip": same}
+    return decoded.select(*(c for c in docs.columns if c not in found), *(x.alias(name) for name, x in found.items()))
 
 
 STAGES = [

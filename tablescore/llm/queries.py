@@ -46,8 +46,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = sentencepiece_lattice.pieces(spark, model_file)
-    encoded = sentencepiece_lattice.encode_texts(docs, vocabulary)
-    decoded = sentencepiece_lattice.decode_pieces(encoded, vocabulary)
+    decoded = sentencepiece_lattice.encode_and_decode(docs, vocabulary)
     return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -39,8 +39,8 @@ from ._text import chunks, give_back, span_hashes, string_bytes
 
 SPACE = "▁"
 _CACHE = 20  # bits of the table of pairs that were looked at
-_MOST_WORDS = 1_000_000  # distinct cut-outs that a task remembers
-_MATCH_BYTES = 300_000  # of distinct cut-outs that are indexed together (a longer one alone)
+_MOST_PIECES = 1_000_000  # of distinct cut-outs that a task remembers
+_MATCH_BYTES = 100_000  # of distinct cut-outs that are indexed together (a longer one alone)
 
 
 @dataclass
@@ -146,7 +146,11 @@ class Matcher:
         for k, size in enumerate(self.size):
             data[k, min(16, size) :] = 255
         self.high = [data[:, a : a + 8].copy().view(">u8").ravel().astype(np.uint64) for a in (0, 8)]
-        self.longer = np.flatnonzero(self.size > 16)
+        longer = self.size > 16
+        self.nth_longer = np.where(longer, np.cumsum(longer) - 1, -1)
+        self.rest = np.zeros((int(longer.sum()), max(0, int(self.size.max(initial=16)) - 16)), np.uint8)
+        for k, i in enumerate(self.piece[longer]):
+            self.rest[k, : len(p.text[i]) - 16] = np.frombuffer(p.text[i][16:], np.uint8)
         self.seen = np.full(1 << _CACHE, -1, np.int64)
         self.said = np.zeros(1 << _CACHE, bool)
 
@@ -173,9 +177,11 @@ class Matcher:
         which = np.repeat(np.arange(len(count)), count)
         at = order[np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)]
         fits = at + self.size[which] <= len(data)
-        for k in self.longer[count[self.longer] > 0]:
-            for i in np.flatnonzero(which == k):
-                fits[i] &= data[at[i] : at[i] + self.size[k]].tobytes() == self.p.text[self.piece[k]]
+        long = np.flatnonzero(fits & (self.nth_longer[which] >= 0))
+        if len(long):  # their bytes from the 17th on
+            place = np.arange(16, 16 + self.rest.shape[1])
+            same = data[np.minimum(at[long, None] + place, len(data) - 1)] == self.rest[self.nth_longer[which[long]]]
+            fits[long] = (same | (place >= self.size[which[long], None])).all(1)
         return at[fits], which[fits]
 
     def pair_ok(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -251,7 +257,7 @@ class Matcher:
 
 
 class Encoder:
-    """Encodes batches; remembers the cut-outs that it has seen, up to _MOST_WORDS."""
+    """Encodes batches; remembers the cut-outs that it has seen, up to _MOST_PIECES pieces of them."""
 
     def __init__(self, p: Pieces):
         self.p, self.match = p, Matcher(p)
@@ -283,7 +289,7 @@ class Encoder:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         h = span_hashes(data, starts, ends)
         words, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > _MOST_WORDS:
+        if self.pooled > _MOST_PIECES:
             self.forget()
         to = np.searchsorted(self.known, words)
         new = np.ones(len(words), bool)
@@ -302,7 +308,7 @@ class Encoder:
             self.count = np.insert(self.count, to[new], np.diff(where))
             self.pooled += len(got)
             if self.pooled > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(self.pooled, 1 << 20), np.int32)])
+                self.flat = np.concatenate([self.flat, np.zeros(max(self.pooled - len(self.flat), 1 << 18), np.int32)])
             self.flat[self.pooled - len(got) : self.pooled] = got
             to = np.searchsorted(self.known, words)
         n, begin = self.count[to][back], self.from_[to][back]
@@ -342,18 +348,30 @@ def pieces(spark: SparkSession, model_file: str) -> Broadcast:
     return spark.sparkContext.broadcast(Pieces.load(model_file))
 
 
+def _encoded(part: pa.RecordBatch, coder: Encoder, text: str) -> pa.ListArray:
+    got, at = coder.encode(part[text])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got))
+
+
+def _decoded(ids: pa.ListArray, coder: Decoder) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+    return coder.decode(ids.flatten().to_numpy(), at).cast(pa.string())
+
+
+def _with(docs: DataFrame, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
+
+
 def encode_texts(docs: DataFrame, vocabulary: Broadcast, *, text: str = "text", ids: str = "piece_ids") -> DataFrame:
     """docs with one more column, the texts' pieces. No shuffle."""
     docs = docs.drop(ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = _with(docs, **{ids: T.ArrayType(T.IntegerType())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(vocabulary.value)  # remembers cut-outs as long as the task lasts
         for batch in batches:
             for part in _slices(batch, text):
-                got, at = coder.encode(part[text])
-                column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _encoded(part, coder, text)], schema.names)
         del coder
         give_back()
 
@@ -363,16 +381,31 @@ def encode_texts(docs: DataFrame, vocabulary: Broadcast, *, text: str = "text",
 def decode_pieces(docs: DataFrame, vocabulary: Broadcast, *, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """docs with one more column, the texts of their pieces. No shuffle."""
     docs = docs.drop(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())])
+    schema = _with(docs, **{text: T.StringType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Decoder(vocabulary.value)
         for batch in batches:
             size = pc.fill_null(pc.list_value_length(batch[ids]), 0).to_numpy()
-            total = np.concatenate([[0], np.cumsum(size)])
-            for a, b in chunks(total):
+            for a, b in chunks(np.concatenate([[0], np.cumsum(size)])):
                 part = batch.slice(a, b - a)
-                text_of = coder.decode(part[ids].flatten().to_numpy(), total[a : b + 1] - total[a])
-                yield pa.RecordBatch.from_arrays([*part.columns, text_of.cast(pa.string())], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part[ids], coder)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Broadcast, *, text: str = "text", ids: str = "piece_ids", decoded: str = "decoded") -> DataFrame:
+    """docs with two more columns, the texts' pieces and what they decode to, in one pass. No shuffle."""
+    docs = docs.drop(ids, decoded)
+    schema = _with(docs, **{ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, back = Encoder(vocabulary.value), Decoder(vocabulary.value)
+        for batch in batches:
+            for part in _slices(batch, text):
+                column = _encoded(part, coder, text)
+                yield pa.RecordBatch.from_arrays([*part.columns, column, _decoded(column, back)], schema.names)
+        del coder, back
+        give_back()
 
     return docs.mapInArrow(run, schema)
