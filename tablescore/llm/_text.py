@@ -35,7 +35,7 @@ END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         both = []
         for base in (_BASE, _INVERSE):
@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of byte spans as they are, upper case kept."""
-    power, inverse = _powers(max(len(data), CHUNK_BYTES) + 1)
+    power, inverse = powers(max(len(data), CHUNK_BYTES) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_EXACT[data] * power[: len(data)], out=sums[1:])
@@ -112,7 +112,7 @@ class Words:
     def hashes(self, *prefixes: int) -> np.ndarray | list[np.ndarray]:
         """Each word's hash; with prefixes, also those of its first so many bytes (all, of a shorter word)."""
         size = max(len(self.data), CHUNK_BYTES) + 1
-        power, inverse = _powers(size)
+        power, inverse = powers(size)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_TABLE[self.data] * power[: len(self.data)], out=sums[1:])

@@ -39,8 +39,8 @@ from ._text import chunks, give_back, span_hashes, string_bytes
 
 SPACE = "▁"
 _CACHE = 20  # bits of the table of pairs that were looked at
-_MOST_PIECES = 1_000_000  # of distinct cut-outs that a task remembers
-_MATCH_BYTES = 100_000  # of distinct cut-outs that are indexed together (a longer one alone)
+_MOST_PIECES = 3_000_000  # of distinct cut-outs that a task remembers
+_MATCH_BYTES = 200_000  # of distinct cut-outs that are indexed together (a longer one alone)
 
 
 @dataclass

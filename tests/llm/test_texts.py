@@ -205,7 +205,7 @@ def found_copies(items, copies):
     index = decontamination.ItemIndex(list(range(len(items))), pa.array(items), params)
     assert all(decontamination.best_distance(x, y) <= int(params.max_edits * len(x)) for x, y in zip(items, copies, strict=True))
     texts = [" ".join([*words(draw, 30), y, *words(draw, 30)]) for y in copies]
-    got = index.matches(*decontamination.string_bytes(pa.array(texts)))
+    got = index.matches(pa.array(texts))
     return sum((k, k) in {(t, i) for t, i, *_ in got} for k in range(len(items)))
 
 
@@ -235,3 +235,42 @@ def test_copies_with_many_typos_are_found():
             at = draw.randrange(len(x))
             x[at : at + 1] = draw.choice([[], ["x"], [x[at], "x"]])
     assert found_copies(items, ["".join(x) for x in copies]) >= 57
+
+
+def edited(draw, text, share, place):
+    """text with share of its characters changed, inserted or deleted, anywhere or in one half of it."""
+    low, high = {"anywhere": (0, len(text)), "front": (0, len(text) // 2), "end": (len(text) // 2, len(text)), "middle": (len(text) // 4, len(text) * 3 // 4)}[place]
+    out = list(text)
+    for at in sorted(draw.sample(range(low, high), min(int(share * len(text)), high - low)), reverse=True):
+        kind = draw.random()
+        if kind < 0.6:
+            out[at] = draw.choice("abcdefgh ")
+        elif kind < 0.8:
+            out.insert(at, draw.choice("abcdefgh "))
+        else:
+            del out[at]
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("n_words", "most"), [(3, 0.05), (5, 0.1), (8, 0.1), (12, 0.2), (16, 0.2), (30, 0.2), (60, 0.2), (120, 0.2), (200, 0.2)])
+def test_recall_by_size_share_and_place(n_words, most):
+    draw, params = random.Random(n_words), decontamination.CgkParams()
+    items = [" ".join(words(draw, n_words)) for _ in range(60)]
+    index = decontamination.ItemIndex(list(range(len(items))), pa.array(items), params)
+    around = [" ".join(words(draw, 25)) for _ in range(60)]
+    for share in [s for s in (0.0, 0.05, 0.1, 0.2) if s <= most]:
+        for place in ("anywhere", "front", "middle", "end"):
+            copies = [edited(draw, x, share, place) for x in items]
+            near = [k for k, (x, y) in enumerate(zip(items, copies, strict=True)) if decontamination.best_distance(x, " ".join(y.split())) <= index.most[k]]
+            got = {(t, i) for t, i, *_ in index.matches(pa.array([f"{a} {y} {a}" for a, y in zip(around, copies, strict=True)]))}
+            assert sum((k, k) in got for k in near) >= 0.9 * len(near), (share, place)
+
+
+def test_scripts_without_spaces_and_short_items():
+    items = ["\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u4e00\u8d77\u53bb\u516c\u56ed\u6563\u6b65\u5427", "What is it?", "alone", "d\u00e9j\u00e0 vu \u2014 \u201cencore\u201d"]
+    index = decontamination.ItemIndex(["zh", "q", "w", "fr"], pa.array(items), decontamination.CgkParams())
+    texts = ["\u6211\u8bf4\uff1a" + items[0] + "\u3002\u597d", "so: what is  it", "all ALONE here", "un d\u00e9j\u00e0 vu encore, oui", "what it was", None, ""]
+    got = {(t, index.ids[i]): (d, b, e) for t, i, d, b, e in index.matches(pa.array(texts))}
+    assert set(got) == {(0, "zh"), (1, "q"), (2, "w"), (3, "fr")}
+    assert all(d == 0 for d, _, _ in got.values())
+    assert [texts[t].encode()[b:e].decode() for (t, _), (_, b, e) in sorted(got.items())] == [items[0], "what is  it", "ALONE", "d\u00e9j\u00e0 vu encore"]
