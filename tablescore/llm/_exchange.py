@@ -63,6 +63,24 @@ def free(*tables: DataFrame) -> None:
             files.delete(place, True)
 
 
+#: A group of this many rows or more, and of a thousandth of all, is joined by broadcast.
+HOT_ROWS, HOT_GROUPS = 64, 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, *, apart: str) -> DataFrame:
+    """rows with the other columns of groups (one row for each key, and the group's number of rows in `size`), null
+    where there is none. Groups with a thousandth of all rows or more, so a thousand at most, are broadcast; their
+    rows are spread by the column `apart`. So no task of the join that shuffles gets a large group."""
+    others = [c for c in groups.columns if c != key]
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(groups.filter(F.col(size) >= limit).select(F.col(key).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in others)))
+    rest = groups.filter(F.col(size) < limit).select(F.col(key).alias("__rest"), *(F.col(c).alias(f"__rest_{c}") for c in others))
+    spread = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("-"), F.xxhash64(apart).cast("string")))
+    both = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__spread", spread).join(rest, F.col("__spread") == F.col("__rest"), "left")
+    return both.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in others))
+
+
 def n_blocks(spark: SparkSession, blocks: int | None = None) -> int:
     return blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

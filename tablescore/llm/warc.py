@@ -6,8 +6,12 @@ knows, committed task by task). Its line separator is the zero byte that ends ea
 byte of a member is the top byte of its length, zero below 16 MiB; a longer record is followed by
 an empty member.
 
+Archives are rolled by bytes: members go to the writer in parts of up to part_bytes, and a file takes
+file_parts of those, so a reader, which holds a file, holds about their product at most.
+
 Deduplication: of equal payloads of at least `least` bytes (same SHA-1, SHA-256 and length), the
-page with the largest id is a response and the others are revisits that refer to it.
+page with the largest id is a response and the others are revisits that refer to it. Groups are counted
+on narrow rows; pages of small payloads aren't joined, and those of a large group get the answer by broadcast.
 
 Index: captures are sorted by URL key (host parts reversed) into compressed blocks of block_rows
 lines; a sparse directory holds one row for each block. A lookup finds its blocks in the directory,
@@ -33,17 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._exchange import shared_folder, stored
+from ._exchange import free, shared_folder, stored, with_groups
 
 
 @dataclass(frozen=True)
 class WarcParams:
     """least: bytes from which equal payloads are revisits. block_rows: captures in an index block.
-    file_rows: most records in an archive file. date: WARC-Date of all records."""
+    file_rows: most records in an archive file. file_parts, part_bytes: a file has at most so many parts, each of
+    so many bytes, or one longer record. date: WARC-Date of all records."""
 
     least: int = 1000
     block_rows: int = 1000
     file_rows: int = 5000
+    file_parts: int = 16
+    part_bytes: int = 4_000_000
     date: str = "1970-01-01T00:00:00Z"
 
 
@@ -86,20 +93,30 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     """Writes a record for each page to gzipped archive files under path."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumns({"sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256), "size": F.length("payload")})
-    narrow = stored(rows.filter(F.col("size") >= params.least).select("page_id", "sha1", "sha256", "size"))
-    same = ["sha1", "sha256", "size"]
-    copies = narrow.groupBy(*same).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = rows.join(copies, same, "left").select("page_id", "url", "payload", "sha1", F.expr("if(page_id <=> first, null, first)").alias("original"))
+    rows = rows.withColumn("same", F.concat_ws("-", "sha1", "sha256", "size")).drop("sha256")
+    narrow = stored(rows.filter(F.col("size") >= params.least).select("page_id", "same"))
+    copies = stored(narrow.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    free(narrow)
+    names = ["page_id", "url", "payload", "sha1"]
+    large = with_groups(rows.filter(F.col("size") >= params.least), copies, "same", "n", apart="page_id")
+    marked = large.select(*names, F.expr("if(page_id <=> first, null, first)").alias("original")).unionByName(rows.filter(F.col("size") < params.least).select(*names, F.lit(None).cast("long").alias("original")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+        held, size = [], 0
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("page_id", "url", "payload", "sha1", "original")]
-            for a in range(0, batch.num_rows, 200):
-                out = [member(record(*row, params.date))[:-1] for row in zip(*(c[a : a + 200] for c in columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for row in zip(*(batch[c] for c in (*names, "original")), strict=True):
+                new = member(record(*(x.as_py() for x in row), params.date))
+                if held and (size + len(new) > params.part_bytes or len(held) >= max(1, params.file_rows // params.file_parts)):
+                    yield part()
+                    held, size = [], 0
+                held.append(new)
+                size += len(new)
+        if held:
+            yield part()
 
     files = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    files.write.option("lineSep", "\0").option("maxRecordsPerFile", params.file_rows).text(path)
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", params.file_parts).text(path)
 
 
 def parse_record(raw: bytes) -> dict:
