@@ -4,10 +4,12 @@ A text's features are the byte n-grams (n = 1 to 3, A-Z folded) that occur in it
 texts is the number of n-grams that both have, divided by the geometric mean of their own counts.
 Landmark texts make it finite (Nystroem): only n-grams of landmarks can be shared with one, so the
 feature space is theirs, and a text's kernel row is one product with the landmarks' presence
-matrix. One ridge regression for each language (one against the rest) is fitted in the space of
-those rows; a batch is scored by two matrix products.
+matrix. One kernel ridge regression for each language (one against the rest) is fitted on those rows: the
+functions are sums of landmark kernels and an offset, and their norm is that of the kernel's own space,
+w' K w with the landmarks' kernel matrix K. With all texts as landmarks that is the dense kernel ridge
+regression. A batch is scored by two matrix products.
 
-The fit takes a bounded sample (LangParams.per_class texts a language, none over most_bytes;
+The fit takes a bounded sample (LangParams.per_class texts a language, none over most_bytes, total_bytes in all;
 `landmarks` of them a language). Scoring reads all rows and whole texts and moves none.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; null keys stay;
@@ -34,13 +36,14 @@ _FOLD[65:91] += 32
 
 @dataclass(frozen=True)
 class LangParams:
-    """per_class, most_bytes: the sample's bounds; landmarks: of each language; ridge: of the regression;
+    """per_class, most_bytes, total_bytes: the sample's bounds; landmarks: of each language; ridge: of the regression;
     sharpness: of the softmax that turns regression outputs into a score."""
 
     per_class: int = 400
     most_bytes: int = 16384
+    total_bytes: int = 48_000_000
     landmarks: int = 24
-    ridge: float = 1e-2
+    ridge: float = 1e-3
     sharpness: float = 4.0
 
 
@@ -109,8 +112,12 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, languages: list[str], params
     k = np.concatenate([model.kernel(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans]).astype(np.float64)
     share = 1 / np.bincount(labels, minlength=len(languages))[labels]
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    left = k.T * share @ k + params.ridge * np.eye(k.shape[1]) * share.sum() / k.shape[1]
-    return LangModel(languages, tables, model.landmarks, np.linalg.solve(left, k.T * share @ target).astype(np.float32))
+    own = model.kernel(mark_data, mark_at).astype(np.float64)[:, :-1]
+    norm = np.zeros((k.shape[1], k.shape[1]))
+    norm[:-1, :-1] = params.ridge * share.sum() * (own + own.T) / 2
+    # Landmarks that repeat make the system singular; the least of its solutions is taken.
+    weight = np.linalg.lstsq(k.T * share @ k + norm, k.T * share @ target, rcond=1e-10)[0]
+    return LangModel(languages, tables, model.landmarks, weight.astype(np.float32))
 
 
 def train(docs: DataFrame, *, usable: Column, key: str = "doc_id", text: str = "text", language: str = "lang", params: LangParams = LangParams()) -> LangModel | None:
@@ -118,7 +125,7 @@ def train(docs: DataFrame, *, usable: Column, key: str = "doc_id", text: str = "
     languages = sorted(r[0] for r in ids.select("__label").distinct().collect())
     number = {x: i for i, x in enumerate(languages)}
     numbered = ids.replace({x: str(i) for x, i in number.items()}, subset=["__label"]) if languages else ids
-    texts, y, _ = labelled_texts(docs, numbered.withColumn("__label", numbered["__label"].cast("long")), key=key, text=text, most_bytes=params.most_bytes)
+    texts, y, _ = labelled_texts(docs, numbered.withColumn("__label", numbered["__label"].cast("long")), key=key, text=text, most_bytes=params.most_bytes, total_bytes=params.total_bytes)
     return fit(texts, y, languages, params)
 
 

@@ -64,30 +64,47 @@ def _sets(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
 
 
+def _digests(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The size of each set and two 64-bit sums over it; equal sets have equal sums."""
+    out = [np.diff(at)]
+    with np.errstate(over="ignore"):
+        for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
+            out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+    return out
+
+
 def set_digests(docs: DataFrame, key: str, text: str, params: JoinParams) -> DataFrame:
-    """(key, n, s1, s2): the size of each text's set and two 64-bit sums over it; equal sets have equal sums."""
+    """(key, n, s1, s2): each row's key, with the size and sums of its text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, at = _sets(batch["text"], params.width)
-            sums = []
-            with np.errstate(over="ignore"):
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
-                    sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(np.diff(at)), *map(pa.array, sums)], ["key", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch["key"], *map(pa.array, _digests(*_sets(batch["text"], params.width)))], ["key", "n", "s1", "s2"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, s1 long, s2 long")
 
 
-def _chosen(docs: pa.Table, reps: pa.Table) -> pa.Table:
-    """Those of the block's documents that represent their class, one row for each key."""
-    if not len(docs) or not len(reps):
-        return docs.slice(0, 0)
-    keys = docs["key"].to_numpy()
-    mine = np.flatnonzero(np.isin(keys, reps["key"].to_numpy()))
-    return docs.take(pa.array(mine))
+def _chosen(docs: pa.Table, reps: pa.Table, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys and sets of those of the block's documents that represent their class, one for each key and set."""
+    if len(docs) and len(reps):
+        docs = docs.filter(pc.is_in(docs["key"], value_set=reps["key"].combine_chunks()))
+    else:
+        docs = docs.slice(0, 0)
+    keys = docs["key"].combine_chunks()
+    h, at = _sets(docs["text"], width)
+    seen, mine = set(), []
+    for i, row in enumerate(zip(keys.to_pylist(), *(d.tolist() for d in _digests(h, at)), strict=True)):
+        if row not in seen:
+            seen.add(row)
+            mine.append(i)
+    if len(mine) < len(keys):
+        keep = np.zeros(len(keys), bool)
+        keep[mine] = True
+        n = np.diff(at)
+        h, at, keys = h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), keys.filter(pa.array(keep))
+    return keys, h, at
 
 
 _SENT = "block int, bucket int, keys binary, counts binary"
@@ -100,12 +117,10 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 def _send(params: JoinParams, buckets: int):
     def send(docs: pa.Table, reps: pa.Table) -> pa.Table:
-        docs = _chosen(docs, reps)
-        if not len(docs):
-            return _table([])
-        h, _ = _sets(docs["text"], params.width)
+        block = docs["block"][0].as_py() if len(docs) else None
+        h = _chosen(docs, reps, params.width)[1]
         keys, counts = np.unique(h >> np.uint64(64 - _KEY_BITS), return_counts=True)
-        cut, block = ranges(keys, buckets, _KEY_BITS), docs["block"][0].as_py()
+        cut = ranges(keys, buckets, _KEY_BITS)
         del h
         give_back()
         return _table([(block, i, pack(keys[a:b]), pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b])
@@ -133,19 +148,17 @@ _INDEXED = "doc {kind}, n long, tokens array<long>, places array<int>, members b
 def _index(params: JoinParams):
     t = params.percent
 
-    def index(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def index(docs: tuple[pa.Array, np.ndarray, np.ndarray], answers: pa.Table) -> pa.Table:
         """Of each document that may have a partner: its size, the shared shingles of its prefix with their
         places, and its whole set."""
         names = ["doc", "n", "tokens", "places", "members"]
-        empty = lambda: pa.table([pa.array([], docs["key"].type), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())], names)
-        if not len(docs) or not len(answers):
+        doc, h, at = docs
+        empty = lambda: pa.table([pa.array([], doc.type), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())], names)
+        if not len(h) or not len(answers):
             return empty()
         answers = answers.sort_by("bucket")
         shared = np.concatenate([unpack(x.as_py()) for x in answers["keys"]])
         count = np.concatenate([unpack_counts(x.as_py()) for x in answers["counts"]])
-        h, at = _sets(docs["text"], params.width)
-        if not len(h):
-            return empty()
         key = h >> np.uint64(64 - _KEY_BITS)
         to = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
         n_docs = np.where(shared[to] == key, count[to], 1)
@@ -162,7 +175,7 @@ def _index(params: JoinParams):
         row = [o[0] for o in out]
         lists = np.concatenate([[0], np.cumsum([len(o[1]) for o in out])]).astype(np.int32)
         token, place = (pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate([o[i] for o in out]))) for i in (1, 2))
-        return pa.table([docs["key"].take(pa.array(row)), pa.array(n[row]), token, place, pa.array([o[3] for o in out], pa.binary())], names)
+        return pa.table([doc.take(pa.array(row)), pa.array(n[row]), token, place, pa.array([o[3] for o in out], pa.binary())], names)
 
     return index
 
@@ -195,9 +208,12 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     blocks = blocks or BLOCKS_A_PARTITION * buckets
     kind = docs.schema[key].dataType.simpleString()
     sets = stored(set_digests(docs, key, text, params))
-    classes = stored(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep")))
+    # Rows that repeat key and set are added up before the classes are.
+    once = sets.filter("n > 0").groupBy("key", "n", "s1", "s2").agg(F.count("*").alias("rows"))
+    least = F.min(F.when(F.col("key").isNotNull(), F.struct("key", (-F.col("rows")).alias("rows"))))
+    classes = stored(once.groupBy("n", "s1", "s2").agg(least.alias("least")).select("n", "s1", "s2", F.col("least.key").alias("rep"), (-F.col("least.rows")).alias("rows")))
     reps = classes.filter("rep is not null").select(F.col("rep").alias("key"), block_of(blocks, "rep").alias("block")).distinct()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), block_of(blocks, key).alias("block")).filter("key is not null")
+    rows = _fewer(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null"), classes).withColumn("block", block_of(blocks, "key"))
     sent = rows.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(params, buckets), _SENT)
     answers = stored(sent.groupBy("bucket").applyInArrow(_answer, _SENT))
     indexed = stored(_with_reps(rows, reps, answers, params, kind))
@@ -261,6 +277,14 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     return sets.join(of_class, ["n", "s1", "s2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
+def _fewer(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows without those that repeat the key and text of a representative, of which one task would get all."""
+    often = stored(classes.filter("rows > 1").select(F.col("rep").alias("key")).distinct())
+    if not often.limit(1).count():
+        return rows
+    return rows.join(often, "key", "left_anti").unionByName(rows.join(often, "key", "left_semi").distinct())
+
+
 def _with_reps(rows: DataFrame, reps: DataFrame, answers: DataFrame, params: JoinParams, kind: str) -> DataFrame:
     """The index rows of each block's representatives. The block's answers and its representatives come
     as one table, told apart by which columns are null."""
@@ -268,7 +292,7 @@ def _with_reps(rows: DataFrame, reps: DataFrame, answers: DataFrame, params: Joi
 
     def run(docs: pa.Table, rest: pa.Table) -> pa.Table:
         is_rep = pc.is_null(rest["keys"])
-        return index(_chosen(docs, rest.filter(is_rep)), rest.filter(pc.invert(is_rep)))
+        return index(_chosen(docs, rest.filter(is_rep), params.width), rest.filter(pc.invert(is_rep)))
 
     both = answers.select("block", F.lit(None).cast(kind).alias("key"), "bucket", "keys", "counts").unionByName(reps.select("block", "key"), allowMissingColumns=True)
     return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, _INDEXED.format(kind=kind))

@@ -7,7 +7,7 @@ mean, weighted by line length.
 
 Lines have no labels of their own: each takes its document's. The field is fitted by gradient
 ascent on the conditional likelihood over a bounded sample (CrfParams.per_class documents a class,
-none over most_bytes); scoring reads all rows and whole texts and moves none.
+none over most_bytes, total_bytes in all); scoring reads all rows and whole texts and moves none.
 
 Defined cases: a null, empty or blank text is one empty line, scored like any line; null keys stay;
 repeated rows are scored each; an empty table gives no rows; no usable labels give 0.5 everywhere.
@@ -33,6 +33,7 @@ class CrfParams:
 
     per_class: int = 2500
     most_bytes: int = 65536
+    total_bytes: int = 48_000_000
     steps: int = 150
     rate: float = 0.1
     ridge: float = 1e-3
@@ -177,7 +178,7 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, params: CrfParams = CrfParam
 
 def train(docs: DataFrame, labels: DataFrame, *, usable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", params: CrfParams = CrfParams()) -> Crf:
     ids = labelled_ids(labels, key=key, label=label, usable=usable, per_class=params.per_class)
-    texts, y, _ = labelled_texts(docs, ids, key=key, text=text, most_bytes=params.most_bytes)
+    texts, y, _ = labelled_texts(docs, ids, key=key, text=text, most_bytes=params.most_bytes, total_bytes=params.total_bytes)
     return fit(texts, (y > 0).astype(np.int64), params)
 
 

@@ -12,7 +12,7 @@ sentences that toxic texts have and others don't, and the same weights then loca
 Words are runs of letters, digits and non-ASCII bytes, A-Z folded; they and their first 4 to 7 bytes
 are hashed to 2^20 weights. A weight is fitted, and is never negative, for what at least
 MilParams.least_texts toxic texts of the sample hold and is MilParams.least_lift times as common in
-them as in others. The sample is bounded (per_class texts a class, none over most_bytes); scoring
+them as in others. The sample is bounded (per_class texts a class, none over most_bytes, total_bytes in all); scoring
 reads all rows and whole texts and moves none.
 
 Defined cases: a text without words (null, empty) has one sentence without words; null keys stay;
@@ -44,6 +44,7 @@ class MilParams:
 
     per_class: int = 4000
     most_bytes: int = 65536
+    total_bytes: int = 48_000_000
     least_texts: int = 3
     least_lift: float = 6.0
     steps: int = 150
@@ -152,7 +153,7 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, row_weight: np.ndarray, para
 
 def train(docs: DataFrame, labels: DataFrame, *, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", params: MilParams = MilParams()) -> Mil:
     ids = labelled_ids(labels, key=key, label=label, usable=usable, per_class=params.per_class)
-    texts, y, weight = labelled_texts(docs, ids, key=key, text=text, most_bytes=params.most_bytes)
+    texts, y, weight = labelled_texts(docs, ids, key=key, text=text, most_bytes=params.most_bytes, total_bytes=params.total_bytes)
     return fit(texts, y, weight, params)
 
 

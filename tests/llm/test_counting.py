@@ -192,3 +192,54 @@ def test_join_edge_rows(spark):
     rows = sorted(((r.doc_id or -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in ngram_join.similar_components(docs).collect()))
     assert rows == [(-1, 1, -1), (-1, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 0, 9)]
     assert ngram_join.similar_components(docs.limit(0)).count() == 0
+
+
+def test_join_of_rows_that_repeat(spark):
+    base = [f"w{k}" for k in range(40)]
+    near = base[:-1] + ["other"]
+    texts = [" ".join(base), " ".join(near), "quite another text of its own"]
+    rows = [(1, texts[0])] * 1000 + [(2, texts[1])] * 1000 + [(2, " ".join(base[:20]))] * 500 + [(3, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.similar_components(docs).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 36, 1, 1000), (2, 16, 1, 500), (2, 36, 1, 1000), (3, 2, 3, 1)]
+    reps = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "rep long, rows long").withColumn("rows", F.lit(2))
+    assert ngram_join._fewer(docs.withColumnRenamed("doc_id", "key"), reps).count() == 4
+
+
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_blocks_and_ranges_of_any_number(spark, prose, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        docs = frame(spark, prose[:40])
+        scored = lm_scoring.score_documents(docs, text="text", key="doc_id", held_out=F.col("doc_id") % 7 == 2, part=F.col("doc_id") % 7)
+        assert scored.count() == 40
+        assert ngram_join.similar_components(docs).count() == 40 == exact_dedup.duplicate_groups(docs).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_lm_blocks_of_any_size_and_long_texts(spark, prose):
+    texts = [*prose, " ".join(prose[3:90] * 20), "x" * 300_000]
+    run = lambda **more: sorted(map(tuple, lm_scoring.score_documents(frame(spark, texts), text="text", key="doc_id", held_out=F.col("doc_id") % 7 == 2, part=F.col("doc_id") % 7, params=lm_scoring.LmParams(**more)).collect()))
+    for a, b in zip(run(), run(block_bytes=2000, range_bytes=5000), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
+def test_large_groups_are_spread(spark):
+    texts = ["same"] * 900 + ["other"] * 70 + [f"t{k // 2}" for k in range(100)]
+    rows = exact_dedup.duplicate_groups(frame(spark, texts)).collect()
+    sizes = collections.Counter(texts)
+    last = {t: i for i, t in enumerate(texts)}
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(i, last[t], sizes[t]) for i, t in enumerate(texts)]
+    assert exact_dedup.drop_copies(frame(spark, texts)).count() == len(sizes)
+
+
+def test_filter_has_all_slots_that_repeat(spark):
+    docs = spark.range(0, 70_000).select(F.sha2(F.col("id").cast("string"), 256).alias("__digest"))
+    docs = docs.unionByName(docs.limit(5000))
+    pages, bits = exact_dedup.repeat_filter(docs)
+    slots = docs.select(F.explode(F.array_distinct(F.array(*exact_dedup._slots(bits)))).alias("s")).groupBy("s").count().filter("count > 1")
+    want = sorted(r.s for r in slots.collect())
+    got = sorted(p.page * exact_dedup._PAGE + int(k) for p in pages.collect() for k in np.flatnonzero(np.unpackbits(np.frombuffer(p.bitmap, np.uint8), bitorder="little")))
+    assert got == want

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescore.llm import language_id, quality_crf, toxicity
+from tablescore.llm._sample import labelled_ids, labelled_texts
 from tablescore.llm._text import string_bytes
 
 SYLLABLES = {"en": ["the", "ing", "er", "on", "an", "re"], "fr": ["é", "que", "eau", "oi", "le", "ai"], "de": ["sch", "ung", "ä", "keit", "ver", "ein"]}
@@ -75,6 +76,33 @@ def test_lines_of_texts():
     assert x.shape == (9, quality_crf.N_FEATURES) and np.isfinite(x).all()
 
 
+def test_document_quality_is_that_of_enumeration():
+    draw = np.random.default_rng(5)
+    model = quality_crf.Crf(draw.normal(size=quality_crf.N_FEATURES), draw.uniform(0.5, 2, quality_crf.N_FEATURES), draw.normal(size=quality_crf.N_FEATURES) / 4, draw.normal(size=(2, 2)))
+    texts = ["One line here.", "a b\nC | d\n\nLONG LINE OF MANY WORDS!!", "", "x\ny z\n\n\nq", None]
+    data, offsets = string_bytes(pa.array(texts))
+    got = model.score(data, offsets)
+    x, length, at = quality_crf.line_features(data, offsets)
+    odds = ((x - model.mean) / model.scale) @ model.weight
+    for d, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        total, good = 0.0, 0.0
+        for y in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(sum(odds[a + i] * y[i] for i in range(b - a)) + sum(model.tie[p, q] for p, q in itertools.pairwise(y)))
+            total, good = total + w, good + w * sum((length[a + i] + 1) * y[i] for i in range(b - a))
+        assert got[d] == pytest.approx(good / total / sum(length[a:b] + 1))
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 50, "x" * (100 + k % 7)) for k in range(5000)] + [(60, "y" * 90_000), (61, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(62)], "doc_id long, label int")
+    ids = labelled_ids(labels, key="doc_id", label="label", usable=F.lit(True), per_class=100)
+    texts, y, _ = labelled_texts(docs, ids, key="doc_id", text="text", most_bytes=50_000, total_bytes=10**9)
+    assert len(texts) == 50 and y.tolist() == [k % 2 for k in range(50)]
+    texts, y, _ = labelled_texts(docs, ids, key="doc_id", text="text", most_bytes=50_000, total_bytes=2000)
+    assert 18 <= len(texts) <= 22 and abs(y.sum() * 2 - len(y)) <= 1
+    assert sum(len(t.as_py()) for t in texts) <= 2000 + 2 * 106
+
+
 def test_quality(tables, corpus):
     docs, labels = tables
     model = quality_crf.train(docs, labels, usable=usable())
@@ -127,6 +155,44 @@ def test_languages(tables, corpus):
     assert language_id.predict_language(docs.limit(0), model).count() == 0
 
 
+def test_with_all_landmarks_it_is_dense_kernel_ridge(corpus):
+    some, params = corpus[:60], language_id.LangParams(landmarks=1000, ridge=0.03)
+    texts, names = [c[1][:300] for c in some], sorted(SYLLABLES)
+    y = np.array([names.index(c[2]) for c in some])
+    model = language_id.fit(pa.chunked_array([pa.array(texts)]), y, names, params)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    lower = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+    sets = [grams(lower(t)) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    share = 1 / np.bincount(y)[y]
+    n = len(y)
+    system = np.block([[gram + params.ridge * share.sum() * np.diag(1 / share), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    solved = np.linalg.solve(system, np.vstack([np.where(y[:, None] == np.arange(3), 1.0, -1.0), np.zeros((1, 3))]))
+    new = [c[1][:200] for c in corpus[60:90]]
+    known = set().union(*sets)
+    rows = []
+    for t in new:
+        own = grams(lower(t)) & known
+        rows.append([len(own & s) / np.sqrt(len(own) * len(s)) for s in sets])
+    data, offsets = string_bytes(pa.array(new))
+    assert model.outputs(data, offsets) == pytest.approx(np.array(rows) @ solved[:-1] + solved[-1], abs=2e-3)
+
+
+def test_fit_blames_the_word_that_toxic_texts_share():
+    clean = [f"good words here {k}. more of them {k % 3}." for k in range(40)]
+    toxic = [f"good words here {k}. vilebad {k % 3}. more of them." for k in range(8)]
+    texts, y = pa.chunked_array([pa.array(clean + toxic)]), np.array([0] * 40 + [1] * 8)
+    model = toxicity.fit(texts, y, np.ones(48))
+    data, offsets = string_bytes(pa.array([*clean[:3], *toxic[:3], "vilebad", "words more good"]))
+    bag = toxicity.Bag(data, offsets)
+    odds = bag.log_odds(model.weight, model.bias)
+    brute = [1 - np.prod([1 - 1 / (1 + np.exp(-o)) for o, t, c in zip(odds, bag.text, bag.counts, strict=True) if t == d and c]) for d in range(8)]
+    assert bag.text_score(odds) == pytest.approx(brute)
+    assert max(brute[:3]) < 0.1 and min(brute[3:7]) > 0.6 and brute[7] < brute[6]
+    assert [int(np.argmax(odds[bag.text == d])) for d in (3, 4, 5)] == [1, 1, 1]
+
+
 def test_kernel_rows_are_shared_ngrams():
     texts = ["abcab", "the Cat", "é", "cab"]
     column = pa.chunked_array([pa.array(texts)])
