@@ -10,9 +10,11 @@ result is each document's component, so every link counts but need not be listed
 3. Answer-level skipping: each index list has a hub, its smallest document. Hubs answer first: the
    overlap of every document of the list with its hub is computed. A document linked to hubs gets
    the smallest as its home. The Jaccard distance is a metric, so a hub's answers bound those of all
-   documents near it.
-4. Index-level skipping: within a list, entries are in blocks by home, each with its least position
-   and its sizes. Two blocks are skipped whole if position and sizes rule out every pair of them.
+   documents near it. A list on which many components are left draws a few more hubs in turn, which
+   connect a large group of copies that differ from each other by about the threshold.
+4. Index-level skipping: within a list, entries are in blocks by component of the links so far, and by home
+   within those, each with its least position and its sizes. Two blocks are skipped whole if they are of
+   one component, or if position and sizes rule out every pair of them.
    For the homes of the blocks that remain, the overlap of the two homes is computed. They link; or
    they are so far apart (over 3 (1 - t)) that no documents near them can link; or documents near
    them are compared: one pair for each list, and where that doesn't connect them all pairs that
@@ -23,7 +25,7 @@ A group of k near copies costs k comparisons with its hub, not k^2. No list, gro
 is gathered in one task or on the driver.
 
 Defined cases: a text without words (null, empty) has no shingles and is its own component; a text
-of fewer words than a shingle is one shingle; documents with equal keys are one node; a null key
+of fewer words than a shingle is one shingle; documents with equal keys are of one component; a null key
 takes its class's component, or null; repeated rows are returned each; an empty table gives no rows.
 """
 
@@ -38,13 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import joined
 from ._exchange import block_of, n_blocks, pack, pack_counts, ranges, stored, unpack, unpack_counts
 from ._text import Words, chunks, give_back, mix, shingles, string_bytes
 
 _KEY_BITS = 44
 #: Blocks of documents, for each shuffle partition: a block is held whole by a task.
 BLOCKS_A_PARTITION = 3
+#: Times that a list of so many components or more draws another hub.
+HUB_TURNS, CROWDED = 4, 8
 
 
 @dataclass(frozen=True)
@@ -86,25 +90,20 @@ def set_digests(docs: DataFrame, key: str, text: str, params: JoinParams) -> Dat
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, s1 long, s2 long")
 
 
-def _chosen(docs: pa.Table, reps: pa.Table, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Keys and sets of those of the block's documents that represent their class, one for each key and set."""
+def _chosen(docs: pa.Table, reps: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes and sets of those of the block's documents that represent a class, one document for each."""
     if len(docs) and len(reps):
         docs = docs.filter(pc.is_in(docs["key"], value_set=reps["key"].combine_chunks()))
     else:
         docs = docs.slice(0, 0)
-    keys = docs["key"].combine_chunks()
+    left = dict(zip(zip(*(reps[c].to_pylist() for c in ("key", "n", "s1", "s2")), strict=True), reps["node"].to_pylist(), strict=True)) if len(docs) else {}
     h, at = _sets(docs["text"], width)
-    seen, mine = set(), []
-    for i, row in enumerate(zip(keys.to_pylist(), *(d.tolist() for d in _digests(h, at)), strict=True)):
-        if row not in seen:
-            seen.add(row)
-            mine.append(i)
-    if len(mine) < len(keys):
-        keep = np.zeros(len(keys), bool)
-        keep[mine] = True
-        n = np.diff(at)
-        h, at, keys = h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), keys.filter(pa.array(keep))
-    return keys, h, at
+    nodes = [left.pop(row, -1) for row in zip(docs["key"].to_pylist(), *(d.tolist() for d in _digests(h, at)), strict=True)]
+    nodes = np.array(nodes, np.int64)
+    if (nodes < 0).any():
+        keep, n = nodes >= 0, np.diff(at)
+        h, at, nodes = h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), nodes[keep]
+    return nodes, h, at
 
 
 _SENT = "block int, bucket int, keys binary, counts binary"
@@ -142,18 +141,18 @@ def _answer(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-_INDEXED = "doc {kind}, n long, tokens array<long>, places array<int>, members binary"
+_INDEXED = "doc long, n long, tokens array<long>, places array<int>, members binary"
 
 
 def _index(params: JoinParams):
     t = params.percent
 
-    def index(docs: tuple[pa.Array, np.ndarray, np.ndarray], answers: pa.Table) -> pa.Table:
+    def index(docs: tuple[np.ndarray, np.ndarray, np.ndarray], answers: pa.Table) -> pa.Table:
         """Of each document that may have a partner: its size, the shared shingles of its prefix with their
         places, and its whole set."""
         names = ["doc", "n", "tokens", "places", "members"]
         doc, h, at = docs
-        empty = lambda: pa.table([pa.array([], doc.type), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())], names)
+        empty = lambda: pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())], names)
         if not len(h) or not len(answers):
             return empty()
         answers = answers.sort_by("bucket")
@@ -175,7 +174,7 @@ def _index(params: JoinParams):
         row = [o[0] for o in out]
         lists = np.concatenate([[0], np.cumsum([len(o[1]) for o in out])]).astype(np.int32)
         token, place = (pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate([o[i] for o in out]))) for i in (1, 2))
-        return pa.table([doc.take(pa.array(row)), pa.array(n[row]), token, place, pa.array([o[3] for o in out], pa.binary())], names)
+        return pa.table([pa.array(doc[row]), pa.array(n[row]), token, place, pa.array([o[3] for o in out], pa.binary())], names)
 
     return index
 
@@ -206,17 +205,17 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     spark, t = docs.sparkSession, params.percent
     buckets = n_blocks(spark, blocks)
     blocks = blocks or BLOCKS_A_PARTITION * buckets
-    kind = docs.schema[key].dataType.simpleString()
     sets = stored(set_digests(docs, key, text, params))
-    # Rows that repeat key and set are added up before the classes are.
+    # Rows that repeat key and set are added up before the classes are. A class is a node of the graph.
     once = sets.filter("n > 0").groupBy("key", "n", "s1", "s2").agg(F.count("*").alias("rows"))
     least = F.min(F.when(F.col("key").isNotNull(), F.struct("key", (-F.col("rows")).alias("rows"))))
-    classes = stored(once.groupBy("n", "s1", "s2").agg(least.alias("least")).select("n", "s1", "s2", F.col("least.key").alias("rep"), (-F.col("least.rows")).alias("rows")))
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("key"), block_of(blocks, "rep").alias("block")).distinct()
+    classes = once.groupBy("n", "s1", "s2").agg(least.alias("least")).select("n", "s1", "s2", F.col("least.key").alias("rep"), (-F.col("least.rows")).alias("rows"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    reps = classes.filter("rep is not null").select(F.col("rep").alias("key"), "n", "s1", "s2", "node", block_of(blocks, "rep").alias("block"))
     rows = _fewer(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null"), classes).withColumn("block", block_of(blocks, "key"))
     sent = rows.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(params, buckets), _SENT)
     answers = stored(sent.groupBy("bucket").applyInArrow(_answer, _SENT))
-    indexed = stored(_with_reps(rows, reps, answers, params, kind))
+    indexed = stored(_with_reps(rows, reps, answers, params))
     entries = indexed.select("doc", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
     members = indexed.select("doc", "members")
 
@@ -232,23 +231,38 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     links = first.filter(linked)
     homes = links.groupBy(F.col("b").alias("doc")).agg(F.min(F.struct("a", distance.alias("away"))).alias("m"))
     homes = stored(indexed.select("doc", "n").join(homes, "doc", "left").select("doc", "n", F.coalesce("m.a", "doc").alias("home"), F.coalesce("m.away", F.lit(0.0)).alias("away")))
+    labels = joined(homes.select("doc", F.col("doc").alias("label")), links)
+
+    for turn in range(1, HUB_TURNS + 1):
+        now = entries.join(labels, "doc")
+        drawn = F.min(F.struct(F.xxhash64("doc", "token", F.lit(turn)).alias("r"), "doc", "n", "place", "label")).alias("hub")
+        crowded = now.groupBy("token", "label").agg(drawn).groupBy("token").agg(F.count("*").alias("components"), F.min("hub").alias("hub")).filter(F.col("components") >= CROWDED)
+        tried = now.join(crowded, "token").filter((F.col("label") != F.col("hub.label")) & sizes(F.col("n"), F.col("hub.n")) & can(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"), F.col("n"), F.col("hub.n")))
+        tried = tried.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+        more = stored(overlaps(tried, members).filter(linked).select("a", "b"))
+        if not more.limit(1).count():
+            break
+        labels = joined(labels, more)
 
-    placed = entries.join(homes.drop("n"), "doc")
+    placed = entries.join(homes.drop("n"), "doc").join(labels, "doc")
     chosen = F.min(F.struct(F.xxhash64("doc", "token").alias("r"), F.col("doc").alias("x"), F.col("n").alias("nx")))
-    block = placed.groupBy("token", "home").agg(F.max(F.expr("n - place")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"), chosen.alias("one"))
-    other = block.select("token", *(F.col(c).alias(f"{c}2") for c in ("home", "rest", "least", "most", "one")))
-    meet = block.join(other, "token").filter((F.col("home") < F.col("home2")) & can(F.col("rest"), F.col("rest2"), F.col("least"), F.col("least2")) & (100 * F.col("most") >= t * F.col("least2")) & (100 * F.col("most2") >= t * F.col("least")))
-    meet = meet.select("token", F.col("home").alias("a"), F.col("home2").alias("b"), F.col("one.x").alias("x"), F.col("one.nx").alias("nx"), F.col("one2.x").alias("y"), F.col("one2.nx").alias("ny"), F.col("rest2").alias("rest_b"), F.col("least2").alias("least_b"), F.col("most2").alias("most_b"))
+    block = stored(placed.groupBy("token", "label", "home").agg(F.max(F.expr("n - place")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"), chosen.alias("one")))
+    other = lambda blocks: blocks.select("token", *(F.col(c).alias(f"{c}2") for c in blocks.columns if c != "token"))
+    fit = can(F.col("rest"), F.col("rest2"), F.col("least"), F.col("least2")) & (100 * F.col("most") >= t * F.col("least2")) & (100 * F.col("most2") >= t * F.col("least"))
+    # Components that meet on a list, then their homes there: what hubs have connected is never paired again.
+    whole = block.groupBy("token", "label").agg(F.max("rest").alias("rest"), F.min("least").alias("least"), F.max("most").alias("most"))
+    apart = whole.join(other(whole), "token").filter((F.col("label") < F.col("label2")) & fit).select("token", "label", "label2")
+    meet = apart.join(block, ["token", "label"]).join(other(block), ["token", "label2"]).filter(fit)
+    meet = stored(meet.select("token", F.col("home").alias("a"), F.col("home2").alias("b"), F.col("one.x").alias("x"), F.col("one.nx").alias("nx"), F.col("one2.x").alias("y"), F.col("one2.nx").alias("ny"), F.col("rest2").alias("rest_b"), F.col("least2").alias("least_b"), F.col("most2").alias("most_b")))
     size_of = lambda name, n: homes.select(F.col("doc").alias(name), F.col("n").alias(n))
     of_homes = meet.select("a", "b").distinct().join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
     second = stored(overlaps(of_homes.select("a", "b", "na", "nb"), members))
-    links = links.select("a", "b").unionByName(second.filter(linked).select("a", "b"))
-    known = components(links)
+    labels = joined(labels, second.filter(linked))
     gray = second.filter(~linked & (distance <= 3 * (100 - t) / 100 + 1e-9)).select("a", "b", distance.alias("apart"))
 
     def unconnected(pairs: DataFrame) -> DataFrame:
-        label = lambda name, as_: known.select(F.col("node").alias(name), F.col("label").alias(as_))
-        return stored(pairs.join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart"))
+        label = lambda name, as_: labels.select(F.col("doc").alias(name), F.col("label").alias(as_))
+        return stored(pairs.join(label("a", "la"), "a").join(label("b", "lb"), "b").filter("la <> lb").select("a", "b", "apart"))
 
     # Homes that may be connected by documents near them: one pair of documents for each list first, then all.
     gray = unconnected(gray)
@@ -269,11 +283,18 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         pairs = pairs.filter(sizes(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
         more = stored(overlaps(pairs, members).filter(linked).select("a", "b"))
         if more.limit(1).count():
-            links = links.unionByName(more)
-            known = components(links)
+            labels = joined(labels, more)
             gray = unconnected(gray)
 
-    of_class = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
+    # Classes of one key are one component too; a component is named by its least key.
+    of_node = classes.select("node", "rep").join(labels.withColumnRenamed("doc", "node"), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    first_of = classes.filter("rep is not null").groupBy("rep").agg(F.min("node").alias("a"), F.count("*").alias("k")).filter("k > 1")
+    again = stored(classes.join(first_of, "rep").select("a", F.col("node").alias("b")).filter("a <> b"))
+    if again.limit(1).count():
+        of_node = classes.select("node", "rep").join(joined(stored(of_node.select(F.col("node").alias("doc"), "label")), again).withColumnRenamed("doc", "node"), "node")
+    of_node = stored(of_node)
+    names = of_node.groupBy("label").agg(F.min("rep").alias("component"))
+    of_class = classes.join(of_node.select("node", "label"), "node").join(names, "label").select("n", "s1", "s2", "component")
     return sets.join(of_class, ["n", "s1", "s2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
@@ -285,7 +306,7 @@ def _fewer(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(often, "key", "left_anti").unionByName(rows.join(often, "key", "left_semi").distinct())
 
 
-def _with_reps(rows: DataFrame, reps: DataFrame, answers: DataFrame, params: JoinParams, kind: str) -> DataFrame:
+def _with_reps(rows: DataFrame, reps: DataFrame, answers: DataFrame, params: JoinParams) -> DataFrame:
     """The index rows of each block's representatives. The block's answers and its representatives come
     as one table, told apart by which columns are null."""
     index = _index(params)
@@ -294,5 +315,5 @@ def _with_reps(rows: DataFrame, reps: DataFrame, answers: DataFrame, params: Joi
         is_rep = pc.is_null(rest["keys"])
         return index(_chosen(docs, rest.filter(is_rep), params.width), rest.filter(pc.invert(is_rep)))
 
-    both = answers.select("block", F.lit(None).cast(kind).alias("key"), "bucket", "keys", "counts").unionByName(reps.select("block", "key"), allowMissingColumns=True)
-    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, _INDEXED.format(kind=kind))
+    both = answers.unionByName(reps, allowMissingColumns=True)
+    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, _INDEXED)
