@@ -56,6 +56,34 @@ points AS (
 
 _SCORES = f"WITH {_PAIRS}, matrix AS ({_MATRIX}), {_POINTS}, scores AS (SELECT l_orderkey, round(least(1, p.s::DOUBLE / (p.l * 10)), 6) AS score FROM points)"
 
+
+
+def _way(a: str, n: str, score: str, gap: int) -> str:
+    """Score and moves (D, U, L) of the alignment of a list with one of n members: {s, p}. In `score`, x is the
+    member of the first and j the place in the second."""
+    row = f"""list_reduce(range(1, {n} + 1), lambda now, j: list_append(now,
+        CASE WHEN held[j + 1].s + {score} >= held[j + 2].s + {gap}::FLOAT AND held[j + 1].s + {score} >= now[-1].s + {gap}::FLOAT THEN {{'s': held[j + 1].s + {score}, 'p': held[j + 1].p || 'D'}}
+             WHEN held[j + 2].s >= now[-1].s THEN {{'s': held[j + 2].s + {gap}::FLOAT, 'p': held[j + 2].p || 'U'}}
+             ELSE {{'s': now[-1].s + {gap}::FLOAT, 'p': now[-1].p || 'L'}} END),
+        [held[1], {{'s': 0::FLOAT, 'p': held[2].p || 'U'}}])"""
+    begin = f"list_concat([{{'s': 0::FLOAT, 'p': repeat('L', {n})}}], list_transform(range({n} + 1), lambda k: {{'s': 0::FLOAT, 'p': repeat('L', k::BIGINT)}}))"
+    held = f"list_reduce({a}, lambda held, x: list_transform([{row}], lambda r: list_concat([CASE WHEN r[-1].s > r[1].s THEN r[-1] ELSE r[1] END], r[2:]))[1], {begin})"
+    return f"""list_transform([{held}], lambda h: list_transform([list_filter(h[2:], lambda p: p.s = list_max(list_transform(h[2:], lambda q: q.s)))[1]],
+        lambda last: CASE WHEN last.s > greatest(h[-1].s, h[1].s) THEN last WHEN h[1].s > h[-1].s THEN h[1] ELSE h[-1] END)[1])[1]"""
+
+
+_ROW_WAYS = f"""rows AS (SELECT l_orderkey, i, list(score ORDER BY j) AS line FROM matrix GROUP BY l_orderkey, i),
+whole AS (SELECT l_orderkey, list(line ORDER BY i) AS m, len(any_value(line)) AS n FROM rows GROUP BY l_orderkey),
+steps AS (SELECT l_orderkey, w.p AS p, unnest(range(1, len(w.p) + 1)) AS k FROM (SELECT l_orderkey, {_way('m', 'n', 'x[j]', -3)} AS w FROM whole))"""
+
+_CELL_WAYS = f"""ways AS (SELECT l_orderkey, i, j, t, o, {_way('t', 'len(o)', _CELL.format(a='x', b='o[j]'), -1)}.p AS p
+  FROM (SELECT l_orderkey, prediction, unnest(range(len(truth))) AS i, truth[i + 1] AS t FROM pairs) CROSS JOIN LATERAL (SELECT unnest(range(len(prediction))) AS j, prediction[j + 1] AS o))"""
+
+
+def _side(cells: str, gap: str) -> str:
+    return f"array_to_string(list_transform(range(1, len(p) + 1), lambda k: CASE WHEN p[k] <> '{gap}' THEN {cells}[len(replace(p[:k], '{gap}', ''))] ELSE '~' END), '|')"
+
+
 _BY_CUSTOMER = (
     _LINES
     + """,
@@ -75,7 +103,9 @@ def oracle_sql() -> dict[str, str]:
         "table_similarity_fold": f"{_SCORES} SELECT l_orderkey, score FROM scores",
         "table_similarity_identity": "SELECT DISTINCT l_orderkey, 1.0::DOUBLE AS score FROM lineitem",
         "cell_scores": f"SELECT a.n_nationkey, b.n_nationkey AS m_nationkey, round(({_CELL.format(a='a.n_name', b='b.n_name').removesuffix('::FLOAT')})::DOUBLE, 6) AS score FROM nation a, nation b",
-        "nw_cell_score": f"WITH {_PAIRS}, f AS (SELECT l_orderkey, truth[1] AS t, prediction[1] AS p FROM pairs) SELECT l_orderkey, round(({_nw('t', 'p')})::DOUBLE, 6) AS score FROM f",
+        "nw_cell_score": f"WITH {_PAIRS}, matrix AS ({_MATRIX}) SELECT l_orderkey, i::INT AS i, j::INT AS j, round(score::DOUBLE - 5, 6) AS score FROM matrix",
+        "alignment_rows": f"WITH {_PAIRS}, matrix AS ({_MATRIX}), {_ROW_WAYS} SELECT l_orderkey, (k - 1)::INT AS place, CASE WHEN p[k] <> 'L' THEN (len(replace(p[:k], 'L', '')) - 1)::INT END AS truth_row, CASE WHEN p[k] <> 'U' THEN (len(replace(p[:k], 'U', '')) - 1)::INT END AS prediction_row FROM steps",
+        "alignment_cells": f"WITH {_PAIRS}, {_CELL_WAYS} SELECT l_orderkey, i::INT AS i, j::INT AS j, {_side('t', 'L')} AS truth_cells, {_side('o', 'U')} AS prediction_cells FROM ways",
         "row_pair_matrix": f"WITH {_PAIRS}, matrix AS ({_MATRIX}) SELECT l_orderkey, i::INT AS i, j::INT AS j, round(score::DOUBLE, 6) AS score FROM matrix",
         "alignment_length": f"WITH {_PAIRS}, matrix AS ({_MATRIX}), {_POINTS} SELECT l_orderkey, p.l::INT AS aligned_rows FROM points",
         "missing_prediction": f"{_SCORES} SELECT l_orderkey, CASE WHEN l_orderkey % 7 > 1 THEN score END AS score, CASE WHEN l_orderkey % 7 <= 1 THEN 'no prediction' END AS reason FROM scores",

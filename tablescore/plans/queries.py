@@ -50,9 +50,9 @@ def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nw_cell_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2's score of the first rows of each pair."""
-    pairs = order_pairs(spark, sf_dir)
-    return pairs.select("l_orderkey", alignment_score(F.get("truth", F.lit(0)), F.get("prediction", F.lit(0))).alias("score")).select("l_orderkey", _rounded().alias("score"))
+    """A2's score of every pair of rows of every order's two grids, batched."""
+    pairs = align_cells(order_pairs(spark, sf_dir))
+    return pairs.select("l_orderkey", F.col("truth_row").alias("i"), F.col("prediction_row").alias("j"), _rounded().alias("score"))
 
 
 def row_pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +70,14 @@ def alignment_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: which row was held against which."""
-    scores = row_pair_scores(F.col("truth"), F.col("prediction")).alias("scores")
-    return align_rows(order_pairs(spark, sf_dir).select("l_orderkey", scores))
+    return align_rows(order_pairs(spark, sf_dir)).select("l_orderkey", "place", "truth_row", "prediction_row")
 
 
 def alignment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2's alignment of the first rows of each pair."""
-    pairs = order_pairs(spark, sf_dir).select("l_orderkey", align_cells(F.get("truth", F.lit(0)), F.get("prediction", F.lit(0))).alias("a"))
-    return pairs.select("l_orderkey", F.posexplode_outer("a").alias("place", "p")).filter("place is not null").select("l_orderkey", "place", F.col("p.a").alias("truth_cell"), F.col("p.b").alias("prediction_cell"))
+    """The aligned cells of every pair of rows, ~ for a gap."""
+    cells = lambda c: F.array_join(c, "|", "~").alias(c)
+    pairs = align_cells(order_pairs(spark, sf_dir))
+    return pairs.select("l_orderkey", F.col("truth_row").alias("i"), F.col("prediction_row").alias("j"), cells("truth_cells"), cells("prediction_cells"))
 
 
 def missing_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
