@@ -10,8 +10,9 @@ result is each document's component, so every link counts but need not be listed
 3. Answer-level skipping: each index list has a hub, its smallest document. Hubs answer first: the
    overlap of every document of the list with its hub is computed. A document linked to hubs gets
    the smallest as its home. The Jaccard distance is a metric, so a hub's answers bound those of all
-   documents near it. A list on which many components are left draws a few more hubs in turn, which
-   connect a large group of copies that differ from each other by about the threshold.
+   documents near it. A list with many pairs between components draws more hubs, each of its component with
+   most documents there and with few shingles of its own, which connect a large group of copies that differ by
+   about the threshold.
 4. Index-level skipping: within a list, entries are in blocks by component of the links so far, and by home
    within those, each with its least position and its sizes. Two blocks are skipped whole if they are of
    one component, or if position and sizes rule out every pair of them.
@@ -47,8 +48,8 @@ from ._text import Words, chunks, give_back, mix, shingles, string_bytes
 _KEY_BITS = 44
 #: Blocks of documents, for each shuffle partition: a block is held whole by a task.
 BLOCKS_A_PARTITION = 3
-#: Times that a list of so many components or more draws another hub.
-HUB_TURNS, CROWDED = 4, 8
+#: Most times that a list with so many pairs of documents from different components draws another hub.
+HUB_TURNS, CROWDED = 6, 100
 
 
 @dataclass(frozen=True)
@@ -216,7 +217,8 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     sent = rows.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(params, buckets), _SENT)
     answers = stored(sent.groupBy("bucket").applyInArrow(_answer, _SENT))
     indexed = stored(_with_reps(rows, reps, answers, params))
-    entries = indexed.select("doc", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
+    # A document's first place is the number of its shingles that no other has.
+    entries = indexed.select("doc", "n", F.get("places", F.lit(0)).alias("own"), F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc", "n", "own", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
     members = indexed.select("doc", "members")
 
     # 175 overlap >= 75 (n1 + n2), in hundredths, is the threshold; what is left of a prefix bounds the overlap.
@@ -235,8 +237,10 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     for turn in range(1, HUB_TURNS + 1):
         now = entries.join(labels, "doc")
-        drawn = F.min(F.struct(F.xxhash64("doc", "token", F.lit(turn)).alias("r"), "doc", "n", "place", "label")).alias("hub")
-        crowded = now.groupBy("token", "label").agg(drawn).groupBy("token").agg(F.count("*").alias("components"), F.min("hub").alias("hub")).filter(F.col("components") >= CROWDED)
+        drawn = F.min(F.struct(((F.col("own") + 1) * (500 + F.pmod(F.xxhash64("doc", "token", F.lit(turn)), F.lit(1000)))).alias("r"), "doc", "n", "place", "label")).alias("hub")
+        parts = now.groupBy("token", "label").agg(drawn, F.count("*").alias("docs"))
+        apart = F.sum("docs") * F.sum("docs") - F.sum(F.col("docs") * F.col("docs"))
+        crowded = parts.groupBy("token").agg(apart.alias("apart"), F.max(F.struct("docs", "hub")).alias("m")).filter(F.col("apart") >= 2 * CROWDED).select("token", "m.hub")
         tried = now.join(crowded, "token").filter((F.col("label") != F.col("hub.label")) & sizes(F.col("n"), F.col("hub.n")) & can(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"), F.col("n"), F.col("hub.n")))
         tried = tried.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
         more = stored(overlaps(tried, members).filter(linked).select("a", "b"))
