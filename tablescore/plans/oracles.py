@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import edges, outside
+
 _LINES = """
 lines AS (
   SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity::BIGINT, l_returnflag, l_linestatus) - 1 AS i,
@@ -98,7 +100,8 @@ SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    irregular = {f.__name__: sql for f, sql in (edges.ALL | outside.ALL).items()}
+    return irregular | {
         "table_score": f"{_SCORES} SELECT l_orderkey, score FROM scores",
         "table_similarity_fold": f"{_SCORES} SELECT l_orderkey, score FROM scores",
         "table_similarity_identity": "SELECT DISTINCT l_orderkey, 1.0::DOUBLE AS score FROM lineitem",
@@ -109,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "row_pair_matrix": f"WITH {_PAIRS}, matrix AS ({_MATRIX}) SELECT l_orderkey, i::INT AS i, j::INT AS j, round(score::DOUBLE, 6) AS score FROM matrix",
         "alignment_length": f"WITH {_PAIRS}, matrix AS ({_MATRIX}), {_POINTS} SELECT l_orderkey, p.l::INT AS aligned_rows FROM points",
         "missing_prediction": f"{_SCORES} SELECT l_orderkey, CASE WHEN l_orderkey % 7 > 1 THEN score END AS score, CASE WHEN l_orderkey % 7 <= 1 THEN 'no prediction' END AS reason FROM scores",
-        "provider_leaderboard": f"{_SCORES} SELECT 'p' || (l_orderkey % 8) AS provider, count(*) AS tables, 0::BIGINT AS unscored, round(avg(score), 5) AS mean_score, min(score) AS min_score, max(score) AS max_score FROM scores GROUP BY 1",
+        "provider_leaderboard": f"{_SCORES}, given AS (SELECT 'p' || (l_orderkey % 8) AS provider, CASE WHEN l_orderkey % 7 > 1 THEN score END AS score FROM scores) SELECT provider, count(*) AS tables, count(*) - count(score) AS unscored, round(avg(score), 5) AS mean_score, min(score) AS min_score, max(score) AS max_score, quantile_disc(score, 0.5) AS median_score FROM given GROUP BY 1",
         "grid_round_trip": f"WITH {_LINES} SELECT l_orderkey, i::INT AS row_idx, (k - 1)::INT AS col_idx, line[k] AS text FROM (SELECT l_orderkey, i, line, unnest(range(1, 6)) AS k FROM lines)",
         "grid_cells_udtf": f"WITH {_LINES} SELECT l_orderkey, len(truth)::INT AS n_rows, array_to_string(list_transform(truth, lambda r: array_to_string(r, '|')), '/') AS cells FROM grids",
         "grid_spans": "SELECT r_regionkey, (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name) - 1)::INT AS row_idx, r_name AS region, n_name AS nation, n_name AS nation_again FROM nation JOIN region ON n_regionkey = r_regionkey",
