@@ -8,29 +8,14 @@ task sees a key more than once a block, however frequent it is.
 from __future__ import annotations
 
 import contextlib
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both write: under spark.checkpoint.dir, or the warehouse where that
-    is unset. A machine-local folder will do in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir")
-        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+from ..shared import delete, delete_at_end, shared_folder
 
-
-def _place(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+_CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -38,7 +23,7 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     executors cost nothing, and the shuffles behind it are freed. The table goes when the application
     ends, or with free(); one at a path of the caller's stays."""
     spark, own = df.sparkSession, path is None
-    path = path or shared_folder(spark)
+    path = path or shared_folder(spark, "llm")
     old = {k: spark.conf.get(k, None) for k in _CLEAN}
     for k in _CLEAN:
         with contextlib.suppress(Exception):  # a name that this Spark doesn't know or let change
@@ -50,8 +35,7 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
             with contextlib.suppress(Exception):
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if own:
-        files, place = _place(spark, path)
-        files.deleteOnExit(place)
+        delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,8 +43,7 @@ def free(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            files, place = _place(table.sparkSession, folder)
-            files.delete(place, True)
+            delete(table.sparkSession, folder)
 
 
 #: A group of this many rows or more, and of a thousandth of all, is joined by broadcast.

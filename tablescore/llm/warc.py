@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._exchange import free, shared_folder, stored, with_groups
+from ..shared import shared_folder
+from ._exchange import free, stored, with_groups
 
 
 @dataclass(frozen=True)
@@ -243,7 +244,9 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> byte
 def archive_pages(pages: DataFrame, path: str | None = None, *, key: str = "page_id", url: str = "url", html: str = "html", params: WarcParams = WarcParams()) -> str:
     """Writes archives and their index; returns the folder that holds `archives` and `index`."""
     spark = pages.sparkSession
-    path = path or shared_folder(spark)
+    path = path or shared_folder(spark, "warc")
     write_archives(pages, f"{path}/archives", key=key, url=url, html=html, params=params)
-    build_index(scan_archives(spark, f"{path}/archives"), f"{path}/index", params)
+    captures = stored(scan_archives(spark, f"{path}/archives"))  # sorting samples its input: archives are read once
+    build_index(captures, f"{path}/index", params)
+    free(captures)
     return path
