@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.align import alignment_score, cell_match_score, row_pair_scores, rows_alignment, table_similarity
+from ..functions.align import cell_match_score, table_similarity
 from ..functions.text import data_url, normalize_cell, normalize_grid, output_path, retry_delay, slice_table, strip_captions
 from ..operators.explain import align_cells, align_rows
 from ..operators.extract import extract
 from ..operators.grid import grid_to_long, html_cells, html_to_grid, long_to_grid
 from ..operators.report import leaderboard, with_missing
-from ..operators.score import score_tables
+from ..operators.score import row_pairs, score_tables
 from ..sources.documents import todo
 from . import edges, outside
 from .fixtures import order_grids, order_pairs, table
@@ -57,16 +57,14 @@ def nw_cell_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3 in long form."""
-    pairs = order_pairs(spark, sf_dir).select("l_orderkey", row_pair_scores(F.col("truth"), F.col("prediction")).alias("m"))
-    rows = pairs.select("l_orderkey", F.posexplode("m").alias("i", "line"))
-    return rows.select("l_orderkey", "i", F.posexplode("line").alias("j", "score")).select("l_orderkey", "i", "j", _rounded().alias("score"))
+    """A3 in long form, batched."""
+    pairs = row_pairs(order_pairs(spark, sf_dir))
+    return pairs.select("l_orderkey", F.col("truth_row").alias("i"), F.col("prediction_row").alias("j"), _rounded().alias("score"))
 
 
 def alignment_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length of the path behind the score."""
-    point = rows_alignment(row_pair_scores(F.col("truth"), F.col("prediction")))
-    return order_pairs(spark, sf_dir).select("l_orderkey", point.alias("p")).select("l_orderkey", F.col("p.len").alias("aligned_rows"))
+    return align_rows(order_pairs(spark, sf_dir)).groupBy("l_orderkey").agg(F.count("*").cast("int").alias("aligned_rows"))
 
 
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
