@@ -1,6 +1,7 @@
 """Fitted models: gradients and marginals against enumeration, held-out accuracy, odd rows."""
 
 import itertools
+import os
 import random
 
 import numpy as np
@@ -224,3 +225,63 @@ def test_pipeline(spark, corpus, tmp_path):
     for k in range(20):
         assert k not in kept and (700 + k in kept) == (k in good)
     assert len(good - kept - set(range(20))) <= 0.02 * len(good) and len(kept - good - set(range(700, 802))) <= 5
+
+
+def test_pipeline_stages_against_brute_force(spark, corpus, tmp_path):
+    import corpus_pipeline
+    from test_counting import FOLD, brute_components
+
+    from tablescore.llm import decontamination
+    from tablescore.llm.queries import PIECE_MODEL, remainder
+
+    draw = random.Random(21)
+    items = [" ".join(sentence(draw, "de") for _ in range(3)) for _ in range(4)]
+    texts = {k: t for k, t, _, _, _ in corpus[:250]}
+    for k in range(12):
+        words = texts[k].split(" ")
+        words[draw.randrange(len(words))] = "another"
+        texts |= {300 + k: texts[k], 400 + k: texts[k].upper(), 500 + k: " ".join(words), 600 + k: f"{texts[100 + k]}\n{items[k % 4].replace('e', 'x', 2)} {texts[130 + k]}"}
+    texts |= {700: None, 701: "", 702: " \n"}
+    rows = [(k, t, "en", "s", len(t or ""), "clash") for k, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, piece_ids string")
+    labels = [(k, q) for k, _, _, q, _ in corpus[:250]]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, model = texts, quality_crf.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), usable=remainder(5) != 0)
+
+    def good(some):
+        scores = model.score(*string_bytes(pa.array(list(some.values()), pa.string())))
+        return {k for k, s in zip(some, scores, strict=True) if s >= 0.3}
+
+    def whole(some):
+        last = {}
+        for k, t in some.items():
+            last[(t or "").translate(FOLD)] = max(k, last.get((t or "").translate(FOLD), k))
+        return set(last.values())
+
+    def apart(some):
+        ids = sorted(some)
+        _, first = brute_components([some[k] for k in ids])
+        return {k for n, k in enumerate(ids) if first[n] == n}
+
+    def clean(some):
+        plain = lambda t: " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").translate(FOLD)).split())
+        hold = lambda t: any(decontamination.best_distance(plain(x), plain(t)) <= int(0.2 * len(plain(x))) for x in items)
+        return {k for k, t in some.items() if not hold(t)}
+
+    for n, ((_, stage), brute) in enumerate(zip(corpus_pipeline.STAGES[:4], (good, whole, apart, clean), strict=True)):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids"]
+        path = f"{tmp_path}/stage{n}"
+        docs.write.parquet(path)
+        docs, want = spark.read.parquet(path), brute(left)
+        assert len(want) < len(left)
+        left = {k: left[k] for k in want}
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(left.items())
+    if not os.path.exists(PIECE_MODEL):
+        pytest.skip("no vocabulary file here")
+    import sentencepiece
+
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+    assert coder.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces", "round_trip"]
+    assert sorted((r.doc_id, r.piece_ids, r.n_pieces, r.round_trip) for r in coder.collect()) == sorted((k, library.encode(t or ""), len(library.encode(t or "")), True) for k, t in left.items())

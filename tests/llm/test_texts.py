@@ -91,6 +91,52 @@ def test_any_text(coders, texts):
     check_texts(coders, texts)
 
 
+def small_vocabulary():
+    """Byte pieces, characters, and merges by falling score; one of over 16 bytes, one that no merges give."""
+    merges = ["ab", "cd", " a", "bc", "abcd", "aa", " ab", "aaaa", "abcdabcd", "é", "abcdabcdabcdabcd", "éé", "abcdabcdabcdabcdab", "ad", " abcdabcdabcdabcd", "  ", "bcdbcd"]
+    text = [b""] * 256 + [c.encode() for c in " abcdé"] + [m.encode() for m in merges if len(m) > 1]
+    byte_piece, is_byte = np.arange(256), np.zeros(len(text) + 1, bool)
+    is_byte[:256] = True
+    return text, sl.build(text, [0.0] * 262 + [-float(k) for k in range(len(text) - 262)], byte_piece, is_byte)
+
+
+def merged(text, said):
+    """Pieces by the definition: the best merge first, of equals the leftmost, until none is left."""
+    number = {x: i for i, x in enumerate(text) if x}
+    parts = [c.encode() for c in (" " + said if said else "")]
+    while True:
+        pairs = [(number[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a in number and b in number and a + b in number]
+        if not pairs:
+            return [i for x in parts for i in ([number[x]] if x in number else list(x))]
+        _, k = min(pairs)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_small_vocabulary_against_merging():
+    text, pieces = small_vocabulary()
+    encoder, decoder, draw = sl.Encoder(pieces), sl.Decoder(pieces), random.Random(4)
+    said = ["", " ", "abcdabcdabcdabcdab", "abcdabcdabcdabcdax", "aaaaaaa", "x漢é éé", "a\nb", "bcdbcd", None, *("".join(draw.choices("aaabbccdd é  x\n", k=draw.randint(0, 60))) for _ in range(300)), *("abcd" * draw.randint(1, 9) + "ab" * draw.randint(0, 2) for _ in range(40))]
+    for limit in (10**6, 50):  # the second forgets what it has seen again and again
+        sl._MOST_PIECES, old = limit, sl._MOST_PIECES
+        try:
+            for some in (said[i : i + 40] for i in range(0, len(said), 40)):
+                ids, at = encoder.encode(pa.array(some, pa.string()))
+                assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [merged(text, t) for t in some]
+                assert decoder.decode(ids, at).to_pylist() == [t or "" for t in some]
+        finally:
+            sl._MOST_PIECES = old
+
+
+def test_encode_and_decode_in_one_pass(spark):
+    vocabulary = spark.sparkContext.broadcast(small_vocabulary()[1])
+    docs = spark.createDataFrame([(0, "ab abcd\nx", "clash"), (1, None, "clash"), (2, "ab " * 100_000, "clash"), (2, "", "clash")], "doc_id long, text string, piece_ids string")
+    rows = sl.encode_and_decode(docs, vocabulary)
+    assert rows.columns == ["doc_id", "text", "piece_ids", "decoded"]
+    apart = sl.decode_pieces(sl.encode_texts(docs, vocabulary), vocabulary)
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, apart.collect()))
+    assert all(r.decoded == (r.text or "") for r in rows.collect())
+
+
 @needs_model
 def test_pieces_of_a_table(spark):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*ODD[:-1], None])], "doc_id long, text string, decoded string")
