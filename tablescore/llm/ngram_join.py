@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import joined
-from ._exchange import block_of, n_blocks, pack, pack_counts, ranges, stored, unpack, unpack_counts
+from ._exchange import block_of, free, n_blocks, pack, pack_counts, ranges, stored, unpack, unpack_counts
 from ._text import Words, chunks, give_back, mix, shingles, string_bytes
 
 _KEY_BITS = 44
 #: Blocks of documents, for each shuffle partition: a block is held whole by a task.
 BLOCKS_A_PARTITION = 3
 #: Most times that a list with so many pairs of documents from different components draws another hub.
-HUB_TURNS, CROWDED = 6, 100
+HUB_TURNS, CROWDED = 2, 100
 
 
 @dataclass(frozen=True)
@@ -297,6 +297,7 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     if again.limit(1).count():
         of_node = classes.select("node", "rep").join(joined(stored(of_node.select(F.col("node").alias("doc"), "label")), again).withColumnRenamed("doc", "node"), "node")
     of_node = stored(of_node)
+    free(answers, indexed, first, homes, block, meet, second)
     names = of_node.groupBy("label").agg(F.min("rep").alias("component"))
     of_class = classes.join(of_node.select("node", "label"), "node").join(names, "label").select("n", "s1", "s2", "component")
     return sets.join(of_class, ["n", "s1", "s2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
