@@ -25,6 +25,9 @@ items_per_block, so what is broadcast is bounded; every block is compared with a
 Words end at ASCII other than letters and digits and at general and CJK punctuation; a character from
 U+3000 on is a word of its own, so scripts without spaces have a window at each character.
 
+Short items have few windows, so an item of up to SHORT characters is also looked up by pieces, one more than
+it may have edits: a copy holds one of them unchanged, so none is missed. That costs time for each such item.
+
 Defined cases: null or empty texts and items match nothing; an item shorter than MIN_WORDS words is also
 found by any two neighbouring words of it (by its word, if it has one); equal items are each reported;
 repeated rows are each searched; a null key is reported as null; empty tables give no rows.
@@ -49,9 +52,11 @@ from ._text import CHUNK_BYTES, NOT_ALNUM, chunks, give_back, join_hash, mix, po
 WORD_STEPS, CHAR_STEPS = 10, 24
 MIN_REACH = 4, 10
 MIN_WORDS = 8
+SHORT = 64  # characters up to which an item is found exactly, by one of its pieces
 _TOGETHER = 3  # steps of a character walk that one look-up takes
 _WINDOWS = 16384  # windows that walk together
 _MANY = 64  # candidates of a batch from which the bound comes first
+_AT_ONCE = 20_000  # candidates that are verified together
 _BASE = 0x1E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -286,6 +291,22 @@ class ItemIndex:
             own = np.flatnonzero(own)
             if len(own):
                 self._add(table, (h[own] if table == -1 else join_hash(h[own], h[own + 1])).view(np.int64), own)
+        self._add_pieces()
+
+    def _add_pieces(self) -> None:
+        """One piece more than edits are allowed: a copy of a short item holds one of them unchanged. A piece's
+        table is that of its length, in bytes up to 8."""
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for i in np.flatnonzero((self.size > 0) & (self.size <= SHORT)).tolist():
+            text, cut = self.text[i], np.linspace(0, self.size[i], self.most[i] + 2).astype(int).tolist()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own = text[a:b].encode("utf-8", "surrogateescape")[:8]
+                pieces.setdefault(len(own), []).append((int.from_bytes(own, "little"), i, len(text[:a].encode("utf-8", "surrogateescape"))))
+        for size, some in sorted(pieces.items()):
+            keys, item, into = (np.array(x, t) for x, t in zip(zip(*some, strict=True), (np.uint64, np.int32, np.int32), strict=True))
+            first = len(self.item)
+            self.item, self.into = np.concatenate([self.item, item]), np.concatenate([self.into, into])
+            self._add(-10 - size, keys.view(np.int64), np.arange(first, first + len(item)))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _BASE).view(np.uint64) >> np.uint64(64 - self.bits)).view(np.int64)
@@ -319,10 +340,17 @@ class ItemIndex:
         if -2 in self.tables:
             pair = join_hash(h[:-1], h[1:]).view(np.int64)
             found.append(self._look(-2, pair))
-        word, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+        found = [(line.at[word], anchor) for word, anchor in found]
+        for size in range(1, 9):
+            if -10 - size in self.tables:
+                grams = np.zeros(max(0, len(line.bytes) - size + 1), np.uint64)
+                for k in range(size):
+                    grams |= line.bytes[k : k + len(grams)].astype(np.uint64) << np.uint64(8 * k)
+                found.append(self._look(-10 - size, grams.view(np.int64)))
+        place, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
         # Agreeing windows of a text and an item at about the same place are one candidate.
-        text, item, into = line.doc[word], self.item[anchor].astype(np.int64), self.into[anchor]
-        begin = line.at[word] - into
+        text, item, into = line.doc[np.searchsorted(line.at, place, "right") - 1], self.item[anchor].astype(np.int64), self.into[anchor]
+        begin = place - into
         order = np.lexsort((begin, item, text))
         text, item, into, begin = text[order], item[order], into[order], begin[order]
         edits = self.most[item] * line.edit_bytes
@@ -379,24 +407,29 @@ class ItemIndex:
         """(text, item, distance, begin, end): each text's best copy of each item that it holds; begin and end
         are the byte places in the text of the copy's first and last word."""
         data, offsets = string_bytes(column)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         rows: list[tuple] = []  # text, item, the stretch, and the byte place in the text of each of its words
-        regions: list[str] = []
         for a, b in chunks(offsets):
             line = Line(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for text, item, low, high in self.candidates(line).tolist() if len(line.at) and self.tables else ():
-                regions.append(line.text(int(line.at[low]), int(line.to[high - 1])))
                 at, to = (x[low:high] - line.at[low] for x in (line.at, line.to))
-                rows.append((a + text, item, at, to, line.origin[low:high] - (offsets[a + text] - offsets[a])))
+                rows.append((a + text, item, line.text(int(line.at[low]), int(line.to[high - 1])), at, to, line.origin[low:high] - (offsets[a + text] - offsets[a])))
+                if len(rows) >= _AT_ONCE:
+                    self._verify(rows, best)
+                    rows = []
+        self._verify(rows, best)
+        return [(t, i, *x) for (t, i), x in sorted(best.items())]
+
+    def _verify(self, rows: list[tuple], best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Enters those of the stretches that hold a copy, where none as near is known for the text and item."""
         if len(rows) > _MANY:
-            size = np.array([len(r) for r in regions])
-            end = np.cumsum(size)
-            near = self._near(np.array([r[1] for r in rows]), end - size, end, _char_kinds("".join(regions)))
+            end = np.cumsum([len(r[2]) for r in rows])
+            near = self._near(np.array([r[1] for r in rows]), np.concatenate([[0], end[:-1]]), end, _char_kinds("".join(r[2] for r in rows)))
         else:
             near = np.ones(len(rows), bool)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k in np.flatnonzero(near).tolist():
-            text, item, at, to, origin = rows[k]
-            region, own = regions[k], self.text[item]
+            text, item, region, at, to, origin = rows[k]
+            own = self.text[item]
             known = best.get((text, item), (len(own) + 1,))[0]
             if known == 0:
                 continue
@@ -408,7 +441,6 @@ class ItemIndex:
                 size = [len(region[:x].encode("utf-8", "surrogateescape")) for x in (begin, max(end, begin + 1) - 1)]
                 first, last = np.searchsorted(at, size, "right") - 1
                 best[text, item] = (distance, int(origin[first]), int(origin[last] + to[last] - at[last]))
-        return [(t, i, *x) for (t, i), x in sorted(best.items())]
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, params: CgkParams) -> Iterator[Broadcast]:

@@ -298,7 +298,7 @@ def edited(draw, text, share, place):
     return "".join(out)
 
 
-@pytest.mark.parametrize(("n_words", "most"), [(3, 0.05), (5, 0.1), (8, 0.1), (12, 0.2), (16, 0.2), (30, 0.2), (60, 0.2), (120, 0.2), (200, 0.2)])
+@pytest.mark.parametrize(("n_words", "most"), [(1, 0.2), (2, 0.2), (3, 0.2), (5, 0.2), (8, 0.2), (12, 0.2), (16, 0.2), (30, 0.2), (60, 0.2), (120, 0.2), (200, 0.2)])
 def test_recall_by_size_share_and_place(n_words, most):
     draw, params = random.Random(n_words), decontamination.CgkParams()
     items = [" ".join(words(draw, n_words)) for _ in range(60)]
