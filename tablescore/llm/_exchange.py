@@ -18,10 +18,11 @@ from ..shared import delete, delete_at_end, shared_folder
 _CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, *, group_rows: int | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: lineage ends there, lost
     executors cost nothing, and the shuffles behind it are freed. The table goes when the application
-    ends, or with free(); one at a path of the caller's stays."""
+    ends, or with free(); one at a path of the caller's stays. group_rows: rows of a row group, of which a reader
+    holds one, where rows are megabytes long."""
     spark, own = df.sparkSession, path is None
     path = path or shared_folder(spark, "llm")
     old = {k: spark.conf.get(k, None) for k in _CLEAN}
@@ -29,7 +30,8 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
         with contextlib.suppress(Exception):  # a name that this Spark doesn't know or let change
             spark.conf.set(k, "true")
     try:
-        df.select("*").write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        writer = df.select("*").write.mode("errorifexists").option("compression", "zstd")
+        (writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer).parquet(path)
     finally:
         for k, v in old.items():
             with contextlib.suppress(Exception):
