@@ -1,11 +1,13 @@
 """HTML to grids: spans, carries, recovery, round trips."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescore.operators.grid import grid_to_long, html_cells, html_to_grid, long_to_grid, read_grid, rectangular, register
+from tablescore.operators.grid import _read, _Reader, grid_to_long, html_cells, html_to_grid, long_to_grid, read_grid, rectangular, register
 
 
 def grid(html):
@@ -70,3 +72,16 @@ def test_columns(spark):
     assert spark.sql("SELECT * FROM html_cells('<tr><td>z</td></tr>')").first().text == "z"
     ragged = spark.createDataFrame([([["a"], ["b", "c"], []],)], "g array<array<string>>")
     assert ragged.select(rectangular(F.col("g")).alias("g")).first().g == [["a", ""], ["b", "c"], ["", ""]]
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them():
+    tags = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th rowspan=2>", "<td colspan='2' class=x>", '<TD ROWSPAN="2">', "<td rowspan>", "<td rowspan=''>", "<br/>", "<b>", "a", "&amp;", "&lt", "x & y", "\n"]
+    odd = ["<!-- c -->", "<script>", "</script>", "<td/>", "<", ">", "</td x>", "<td rowspan=2 rowspan=3>", "<td a=b/c>", "<tr/>", "<p", "<title>", "</title>", "<td rowspan = 2>", "<td rowspan=&#50;>", "</", "<td\x0browspan=2>", "<td é=2>"]
+    draw = random.Random(8)
+    rows = lambda reader: [[("".join(text), down, right) for text, down, right in row] for row in reader.rows]
+    for k in range(20_000):
+        html = "".join(draw.choices(tags + odd * (k % 2), k=draw.randint(1, 14)))
+        whole = _Reader()
+        whole.feed(html)
+        whole.close()
+        assert rows(_read(html)) == rows(whole), html
