@@ -281,7 +281,7 @@ class ItemIndex:
         self.item = line.doc.astype(np.int32)
         self.into = (line.at - line.at[line.first[:-1][self.item]]).astype(np.int32) if len(self.item) else np.zeros(0, np.int32)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.bits = min(24, max(16, len(line.at).bit_length() + 7))
+        self.bits = min(21, max(16, len(line.at).bit_length() + 7))
         h = line.hashes()
         for table, keys, telling in line.keys(h, params) if len(h) else ():
             self._add(table, keys[telling], np.flatnonzero(telling))

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,7 +204,7 @@ def _answer(kind: int):
 
 def _replies(answers: pa.Table, column: str, kind: int, size: int) -> np.ndarray:
     """The answers of one order, range after range: a count for each of the block's keys."""
-    mine = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("bucket")
+    mine = answers.filter(pc.equal(answers["kind"], kind)).sort_by("bucket")
     out = np.concatenate([unpack_small(x.as_py()) for x in mine[column]]) if len(mine) else np.zeros(0, np.int64)
     if len(out) != size:
         raise ValueError(f"{len(out)} answers to {size} keys of order {kind}")
