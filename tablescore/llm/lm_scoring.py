@@ -252,7 +252,7 @@ def score_documents(docs: DataFrame, *, text: str, key: str, held_out: Column, p
     role = F.when(held_out, REQUEST).when(part == params.deleted, DELETED).otherwise(MAIN).cast("int")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), role.alias("role"))
     kind = docs.select(key).schema[0].dataType.simpleString()
-    blocks = stored(rows.mapInArrow(_blocks(params.block_bytes), f"block long, keys array<{kind}>, text binary, ends binary, roles binary, bytes long"), group_rows=8)
+    blocks = stored(rows.mapInArrow(_blocks(params.block_bytes), f"block long, keys array<{kind}>, text binary, ends binary, roles binary, bytes long"), group_rows=1)
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = buckets or max(n_blocks(spark), -(-size // params.range_bytes))
     answers = None
